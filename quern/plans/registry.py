@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from . import history_queries, text_queries
+
+QUERIES = {**text_queries.QUERIES, **history_queries.QUERIES}
+ORACLES: dict[str, str] = {**text_queries.ORACLES, **history_queries.ORACLES}
