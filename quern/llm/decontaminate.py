@@ -184,5 +184,5 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs that hold no window of an item."""
-    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"))
-    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("bad_id")), "left_anti")
+    bad = contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_quern_id"))
+    return docs.join(bad.distinct(), docs["doc_id"].eqNullSafe(F.col("_quern_id")), "left_anti")

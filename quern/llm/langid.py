@@ -87,7 +87,7 @@ class Scorer:
             for c in chunks:
                 if c not in self.known:
                     self._add(c)
-        table = np.array([r[0] for r in self.rows]).reshape(len(self.rows), -1)
+        table = np.array([r[0] for r in self.rows]).reshape(len(self.rows), len(self.model.languages))
         letters = np.array([r[1] for r in self.rows], bool)
         get = self.known.__getitem__
         for chunks in chunked:

@@ -137,19 +137,19 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BL
 
 
 def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(doc_id, drop): the numbers of the lines of each document that repeat an earlier line, exactly or nearly."""
+    """(doc_id, _quern_drop): the numbers of the lines of each document that repeat an earlier line, exactly or nearly."""
     labels = stored(line_components(docs, min_words), "line_labels")
     rows = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _line_rows(it, min_words), "doc_id long, line_no long, node long"), "line_rows")
     rows = rows.distinct().join(labels, "node", "left").select("doc_id", "line_no", F.coalesce("label", "node").alias("label"))
     place = F.struct("doc_id", "line_no")
     groups = stored(rows.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first"), "line_groups")
     gone = rows.join(groups, "label").where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("drop"))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("_quern_drop"))
 
 
 def _clean(batches, names: list[str]):
     for b in slices(batches, "text"):
-        drop, texts = b.column("drop").to_pylist(), b.column("text").to_pylist()
+        drop, texts = b.column("_quern_drop").to_pylist(), b.column("text").to_pylist()
         removed, total = [], []
         for i, d in enumerate(drop):
             parts = (texts[i] or "").split("\n")
@@ -170,8 +170,8 @@ def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     called n_lines or n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    drop = repeated_lines(docs, min_words).withColumnRenamed("doc_id", "drop_id")
-    rows = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("drop_id")), "left").select(*docs.columns, "drop")
+    drop = repeated_lines(docs, min_words).withColumnRenamed("doc_id", "_quern_id")
+    rows = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_quern_id")), "left").select(*docs.columns, "_quern_drop")
     names = [*docs.columns, "n_lines", "n_removed"]
     schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
     return rows.mapInArrow(lambda it: _clean(it, names), schema)

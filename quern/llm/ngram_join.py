@@ -183,6 +183,10 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of repeated rows one stays."""
+    """The rows of docs whose doc_id is the smallest of its component; of rows with one doc_id one stays.
+
+    Rows without an id cannot be told apart by it and stay.
+    """
     parts = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(parts, "doc_id", "left_semi").select(*docs.columns)
+    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(parts, "doc_id", "left_semi").select(*docs.columns)
+    return known.unionByName(docs.where("doc_id is null"))

@@ -114,9 +114,9 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _without(batches, names: list[str]):
-    """Texts without the lines whose hashes are in `drop`."""
+    """Texts without the lines whose hashes are in `_quern_drop`."""
     for b in slices(batches, "text"):
-        drop = b.column("drop").to_pylist()
+        drop = b.column("_quern_drop").to_pylist()
         text = b.column("text")
         if any(drop):
             data, off = string_buffers(text)
@@ -139,8 +139,8 @@ def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, kept_share:
     verdict = stored(quality_rules(docs, max_documents, kept_share).where("kept").select("row", "n_frequent_words").distinct(), "verdicts")
     lines, frequent = frequent_lines(docs, max_documents)
     hit = verdict.where("n_frequent_words > 0").select("row")
-    drop = lines.join(frequent.select("host", "line"), ["host", "line"]).join(hit, "row").groupBy("row").agg(F.collect_set("line").alias("drop"))
-    plan = verdict.select("row").join(drop, "row", "left").withColumnRenamed("row", "kept_row")
-    rows = docs.withColumn("kept_row", F.xxhash64("doc_id", "source", "text")).join(plan, "kept_row").select(*docs.columns, "drop")
+    drop = lines.join(frequent.select("host", "line"), ["host", "line"]).join(hit, "row").groupBy("row").agg(F.collect_set("line").alias("_quern_drop"))
+    plan = verdict.select("row").join(drop, "row", "left").withColumnRenamed("row", "_quern_row")
+    rows = docs.withColumn("_quern_row", F.xxhash64("doc_id", "source", "text")).join(plan, "_quern_row").select(*docs.columns, "_quern_drop")
     names = docs.columns
     return rows.mapInArrow(lambda it: _without(it, names), docs.schema)
