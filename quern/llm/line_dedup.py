@@ -2,8 +2,9 @@
 
 A line of MIN_WORDS words or more is a set of 5-character shingles of its normal form (lower case in A-Z, white space as
 one space). Equal normal forms are one class. A one-permutation MinHash of 48 bins (empty bins borrow from the next) in
-12 bands of 4 proposes lines: at a similarity of 0.8 a pair is missed with a chance of 0.002, at 0.9 of 1e-6. Proposed
-lines are compared exactly (Jaccard 0.8 or more, by the block join of `signature_tree`), linked lines form components by
+16 bands of 3 proposes lines. Its shingles have 12 characters: lines of one language share many of 5, which would propose
+nearly every line. Replaced words that bring the similarity to 0.8 leave about 0.68 of the longer shingles, and such a
+pair is missed with a chance of about 0.002; closer ones far less. Proposed lines are compared exactly (Jaccard 0.8 or more, by the block join of `signature_tree`), linked lines form components by
 distributed union-find, and of each component only the first line, by doc_id and line number, stays.
 """
 
@@ -21,7 +22,7 @@ from .ngram_join import BROADCAST_IDS, BUCKETED, bucketed, shared_tokens
 from .signature_tree import BLOCK, chunked, verified_components
 
 MIN_WORDS, SHINGLE, NUM, DEN = 8, 5, 80, 100
-BINS, ROWS = 48, 4
+BINS, ROWS, BAND_SHINGLE = 48, 3, 12
 
 
 def _found(b, min_words: int):
@@ -38,15 +39,15 @@ def _normal(raw: bytes, x: int, y: int) -> str:
     return b" ".join(raw[x:y].split()).decode()
 
 
-def line_shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the 5-character shingles of non-empty lines, one after the other, and how many each has."""
+def line_shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-character shingles of non-empty lines, one after the other, and how many each has."""
     points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
     size = np.array([len(p) for p in points])
     h = mix(np.concatenate(points).astype(np.uint64) + _BYTE[17])
-    count = np.maximum(size - SHINGLE + 1, 1)
+    count = np.maximum(size - k + 1, 1)
     first = np.cumsum(size) - size
-    short = size < SHINGLE
-    g = sequence_hashes(np.concatenate([h, np.zeros(SHINGLE, np.uint64)]), SHINGLE)
+    short = size < k
+    g = sequence_hashes(np.concatenate([h, np.zeros(k, np.uint64)]), k)
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     out = g[at]
     for i in np.flatnonzero(short):
@@ -89,7 +90,7 @@ def _bands(batches, min_words: int, buckets: int):
                 texts.append(_normal(raw, lines.start[i], lines.end[i]))
         if not ids:
             continue
-        keys = band_keys(*line_shingles(texts))
+        keys = band_keys(*line_shingles(texts, BAND_SHINGLE))
         own = np.repeat(np.arange(len(ids)), keys.shape[1])
         yield from bucketed(np.array(ids, np.int64), np.zeros(len(ids), np.uint32), own, keys.ravel(), buckets)
 
