@@ -113,3 +113,18 @@ def greedy_selection(ranked: DataFrame, budget: int, tokens: str = "tokens", gro
 
     rows = ranked.withColumn("g", F.lit(0)) if group == "g" else ranked
     return rows.groupBy(group).agg(items.alias("items")).select(F.inline(F.aggregate("items", zero, step, lambda a: a["out"])))
+
+
+def recency_steps(days: Column) -> Column:
+    """1, 0.7, 0.4 or 0.1 for changes of the last 7, 30, 90 days or before; 0.5 where unknown."""
+    return F.when(days.isNull(), 0.5).when(days <= 7, 1.0).when(days <= 30, 0.7).when(days <= 90, 0.4).otherwise(0.1)
+
+
+def recency_decay(days: Column) -> Column:
+    return F.coalesce(F.exp(-days / 30), F.lit(0.5))
+
+
+def change_frequency(commits: Column) -> Column:
+    """Buckets up to 50 changes, then the logarithm of the excess, at most 1."""
+    busy = F.least(F.lit(1.0), 0.8 + F.log(commits / 50) / 10)
+    return F.when(commits == 0, 0.0).when(commits <= 5, 0.3).when(commits <= 20, 0.6).when(commits <= 50, 0.8).otherwise(busy)
