@@ -25,19 +25,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, stored
+from .common import SPACE, Words, documents, slices, span_hashes, stored, string_buffers
 
 CAPACITY, END = 4096, 1
 NODE_LIMIT = 60_000
-CACHE = 400_000
+CACHE = 1_000_000
 
 _TOKENIZERS: dict = {}
 
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_MARK = np.zeros(256, bool)
+_MARK[33:127] = True
+_MARK[_LETTER] = _MARK[48:58] = False
+
 
 class Encoder:
-    """Whole-text encoding put together from the encodings of chunks between ASCII white space, which are kept.
+    """Whole-text encoding put together from the ids of spans, which are kept in flat arrays by a 64-bit hash.
 
-    The tokenizer's rules never look across white space, so the ids of a text are those of its chunks in order.
+    A span is a run between ASCII white space, cut again where an ASCII mark follows an ASCII letter: the tokenizer's
+    pre-tokens hold no white space and no letter before a mark. Its rules ignore the case of A-Z, so spans do too. Texts
+    with `<|`, which opens the names of added tokens, are encoded in one piece.
     """
 
     def __init__(self, path: str):
@@ -46,23 +54,72 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = False
-        self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        known, out = self.known, []
-        chunked = [t.split() for t in texts]
-        new = list({c for chunks in chunked for c in chunks if c not in known})
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({c for chunks in chunked for c in chunks})
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for c, e in zip(part, self.tok.encode_batch([c.decode() for c in part], add_special_tokens=False)):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        get = known.__getitem__
-        for chunks in chunked:
-            out.append(b"".join(map(get, chunks)))
+        names = self.tok.get_vocab()
+        #: the last token of each pre-token, by id
+        self.ends = np.zeros(max(names.values()) + 1, bool)
+        self.ends[[i for x, i in names.items() if x.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.key, self.at, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool = np.zeros(0, np.uint32)
+
+    def _ids(self, spans: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the spans, one after the other, and how many each has."""
+        size, got = np.zeros(len(spans), np.int64), [b""] * len(spans)
+        plain = [i for i, x in enumerate(spans) if x.isalpha() and x.isascii()]
+        for k in range(0, len(plain), 512):
+            part = plain[k : k + 512]
+            ids = np.array(self.tok.encode(b" ".join([spans[i] for i in part]).decode(), add_special_tokens=False).ids, np.uint32)
+            cut = np.r_[0, np.flatnonzero(self.ends[ids]) + 1]
+            if len(cut) != len(part) + 1:
+                raise ValueError("a run of letters is not one pre-token of this tokenizer")
+            for i, x, y in zip(part, cut[:-1].tolist(), cut[1:].tolist()):
+                got[i], size[i] = ids[x:y], y - x
+        odd = [i for i, x in enumerate(spans) if not (x.isalpha() and x.isascii())]
+        for k in range(0, len(odd), 4096):
+            part = odd[k : k + 4096]
+            for i, e in zip(part, self.tok.encode_batch([spans[i].decode() for i in part], add_special_tokens=False)):
+                got[i] = np.array(e.ids, np.uint32)
+                size[i] = len(got[i])
+        return np.concatenate(got), size
+
+    def encode(self, column) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text of a string column; null counts as empty."""
+        data, off = string_buffers(column)
+        w = Words(data, off, SPACE, lower=True)
+        cut = np.flatnonzero(_LETTER[data[:-1]] & _MARK[data[1:]]) + 1
+        begin, end = np.zeros(len(data), bool), np.zeros(len(data), bool)
+        begin[w.start], begin[cut] = True, True
+        end[w.end - 1], end[cut - 1] = True, True
+        start, end = np.flatnonzero(begin), np.flatnonzero(end) + 1
+        if not len(start):
+            return [b""] * (len(off) - 1)
+        key, where = np.unique(span_hashes(w.data[w.inside], end - start), return_inverse=True)
+        if len(self.key) > CACHE:
+            self._clear()
+        place = np.searchsorted(self.key, key)
+        new = np.ones(len(key), bool)
+        new[place < len(self.key)] = self.key[place[place < len(self.key)]] != key[place < len(self.key)]
+        if new.any():
+            one = np.empty(len(key), np.int64)
+            one[where] = np.arange(len(where))
+            raw = w.data.tobytes()
+            ids, size = self._ids([raw[x:y] for x, y in zip(start[one[new]].tolist(), end[one[new]].tolist())])
+            at = len(self.pool) + np.cumsum(size) - size
+            self.key, self.at, self.size = (np.insert(x, place[new], y) for x, y in ((self.key, key[new]), (self.at, at), (self.size, size)))
+            self.pool = np.concatenate([self.pool, ids])
+            place = np.searchsorted(self.key, key)
+        size = self.size[place][where]
+        total = np.r_[0, np.cumsum(size)]
+        flat = self.pool[np.repeat(self.at[place][where] - total[:-1], size) + np.arange(total[-1])]
+        edge = total[np.searchsorted(start, off)]
+        out = [flat[x:y].tobytes() for x, y in zip(edge[:-1].tolist(), edge[1:].tolist())]
+        whole = data.tobytes()
+        if b"<|" in whole:
+            for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist())):
+                if b"<|" in whole[x:y]:
+                    out[i] = np.array(self.tok.encode(whole[x:y].decode(), add_special_tokens=False).ids, "<u4").tobytes()
         return out
 
 
@@ -86,8 +143,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         for b in slices(batches, "text", 1 << 20):
             rows = ([], [], [], [], [])
             ids = b.column("doc_id").to_pylist()
-            texts = [(t or "").encode() for t in b.column("text").to_pylist()]
-            for doc, raw in zip(ids, enc.encode(texts)):
+            for doc, raw in zip(ids, enc.encode(b.column("text"))):
                 raw = memoryview(raw + end)
                 total = len(raw) // 4
                 for k, at in enumerate(range(0, total, capacity)):
