@@ -144,14 +144,26 @@ def span_hashes(data: np.ndarray, lens: np.ndarray) -> np.ndarray:
 
 
 def sequence_hashes(h: np.ndarray, k: int) -> np.ndarray:
-    """Hash of every run of k neighbouring elements (it may span two texts; the caller knows where texts end)."""
-    n = len(h) - k + 1
-    if n <= 0:
+    """Hash of every run of k neighbouring elements (it may span two texts; the caller knows where texts end).
+
+    Runs are put together from runs of 1, 2, 4, ... elements.
+    """
+    if len(h) < k or not k:
         return np.zeros(0, np.uint64)
-    g = h[:n].copy()
-    for j in range(1, k):
-        g = (g * _BASE) ^ (h[j : j + n] + (g >> np.uint64(32)))
-    return mix(g + np.array([k], np.uint64) * _GOLD)
+    run, length, out, done = h, 1, None, 0
+    while True:
+        if k & length:
+            out = run if out is None else _join(out, run, done)
+            done += length
+        if 2 * length > k:
+            return mix(out + np.array([k], np.uint64) * _GOLD)
+        run = _join(run, run, length)
+        length *= 2
+
+
+def _join(x: np.ndarray, y: np.ndarray, at: int) -> np.ndarray:
+    n = min(len(x), len(y) - at)
+    return (x[:n] * _BASE) ^ (y[at : at + n] + (x[:n] >> np.uint64(32)))
 
 
 def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:

@@ -15,42 +15,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _LOWER, SPACE, Words, documents, mix, sequence_hashes, shuffle_width, slices, stored, string_buffers
-from .components import connected_components, spanning_edges
+from .common import _BYTE, _GOLD, SPACE, Words, documents, mix, sequence_hashes, shuffle_width, slices, stored, string_buffers
+from .components import connected_components
 from .lines import Lines
-from .ngram_join import BROADCAST_IDS, BUCKETED, bucketed, shared_tokens
+from .ngram_join import BROADCAST_IDS, BUCKETED, bucketed, token_edges
 from .signature_tree import BLOCK, chunked, verified_components
 
 MIN_WORDS, SHINGLE, NUM, DEN = 8, 5, 80, 100
 BINS, ROWS, BAND_SHINGLE = 48, 3, 12
-
-
-def _found(b, min_words: int):
-    """The slice's lines of min_words or more, their normal forms' hashes, and its bytes."""
-    data, off = string_buffers(b.column("text"))
-    data = _LOWER[data]
-    w = Words(data, off, SPACE)
-    lines = Lines(data, off, w)
-    key = lines.hashes(w.hashes()).view(np.int64)
-    return lines, key, lines.count >= min_words, data.tobytes()
-
-
-def _normal(raw: bytes, x: int, y: int) -> str:
-    return b" ".join(raw[x:y].split()).decode()
-
-
-def line_shingles(texts: list[str], k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the k-character shingles of non-empty lines, one after the other, and how many each has."""
-    points = [np.frombuffer(t.encode("utf-32-le"), np.uint32) for t in texts]
-    size = np.array([len(p) for p in points])
-    h = mix(np.concatenate(points).astype(np.uint64) + _BYTE[17])
+#: Bytes of text that a Python worker handles at once.
+SLICE = 1 << 19
+SEEN = 500_000
+
+
+class _Found:
+    """The lines of a slice that hold min_words or more: their classes (hashes of the normal forms) and normal forms."""
+
+    def __init__(self, b, min_words: int):
+        data, off = string_buffers(b.column("text"))
+        self.words = Words(data, off, SPACE, lower=True)
+        self.lines = Lines(self.words.data, off, self.words)
+        self.key = self.lines.hashes(self.words.hashes()).view(np.int64)
+        self.ok = self.lines.count >= min_words
+
+    def unseen(self, seen: set[int]) -> np.ndarray:
+        """One line of each class that is not in `seen`, which gets them and forgets all now and then."""
+        at = np.flatnonzero(self.ok)
+        key, first = np.unique(self.key[at], return_index=True)
+        new = np.array([k not in seen for k in key.tolist()], bool)
+        if len(seen) > SEEN:
+            seen.clear()
+        seen.update(key[new].tolist())
+        return np.sort(at[first[new]])
+
+    def normal(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes of the normal forms of the chosen lines (indices in order), one after the other, and their offsets."""
+        w, first = self.words, self.lines.first[chosen]
+        x, y = w.start[first], w.end[first + self.lines.count[chosen] - 1]
+        edge = np.zeros(len(w.data) + 1, np.int8)
+        edge[x] += 1
+        edge[y] -= 1
+        after = np.zeros(len(w.data) + 1, bool)  # the byte behind a word
+        after[w.end] = True
+        keep = np.cumsum(edge[:-1], dtype=np.int8).view(bool) & (w.inside | after[:-1])
+        letters = np.r_[0, np.cumsum(w.end - w.start)]
+        count = self.lines.count[chosen]
+        return np.where(w.inside, w.data, np.uint8(32))[keep], np.r_[0, np.cumsum(letters[first + count] - letters[first] + count - 1)]
+
+
+def _characters(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the characters of UTF-8 texts, and the offsets counted in characters."""
+    more = (data & 0xC0) == 0x80
+    behind = np.flatnonzero(more)
+    if not len(behind):
+        return _BYTE[data], off
+    h = _BYTE[data[~more]]
+    lead = np.flatnonzero(data >= 0xC0)
+    wide = np.r_[data, np.zeros(3, np.uint8)].astype(np.uint32)
+    value, go = wide[lead].astype(np.uint64), np.ones(len(lead), bool)
+    for k in (1, 2, 3):
+        go &= (wide[lead + k] & 0xC0) == 0x80
+        value |= np.where(go, wide[lead + k], 0).astype(np.uint64) << np.uint64(8 * k)
+    h[lead - np.searchsorted(behind, lead)] = mix((value + np.uint64(1)) * _GOLD)
+    return h, off - np.searchsorted(behind, off)
+
+
+def line_shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the k-character shingles of non-empty UTF-8 lines, one after the other, and how many each has."""
+    h, off = _characters(data, off)
+    first, size = off[:-1], np.diff(off)
     count = np.maximum(size - k + 1, 1)
-    first = np.cumsum(size) - size
-    short = size < k
     g = sequence_hashes(np.concatenate([h, np.zeros(k, np.uint64)]), k)
     at = np.repeat(first - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     out = g[at]
-    for i in np.flatnonzero(short):
+    for i in np.flatnonzero(size < k):
         out[np.cumsum(count)[i] - 1] = sequence_hashes(h[first[i] : first[i] + size[i]], int(size[i]))[0]
     return out, count
 
@@ -60,7 +98,7 @@ def band_keys(g: np.ndarray, count: np.ndarray) -> np.ndarray:
     n = len(count)
     sig = np.full(n * BINS, np.iinfo(np.uint64).max, np.uint64)
     place = ((g >> np.uint64(32)) * np.uint64(BINS) >> np.uint64(32)).astype(np.int64)
-    np.minimum.at(sig, np.repeat(np.arange(n) * BINS, count) + place, mix(g))
+    np.minimum.at(sig, np.repeat(np.arange(n) * BINS, count) + place, g)
     sig = sig.reshape(n, BINS)
     empty = sig == np.iinfo(np.uint64).max
     for step in range(1, BINS):
@@ -80,44 +118,37 @@ def band_keys(g: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 def _bands(batches, min_words: int, buckets: int):
     seen: set[int] = set()
-    for b in slices(batches, "text", 1 << 19):
-        lines, key, ok, raw = _found(b, min_words)
-        ids, texts = [], []
-        for i in np.flatnonzero(ok).tolist():
-            if (k := int(key[i])) not in seen:
-                seen.add(k)
-                ids.append(k)
-                texts.append(_normal(raw, lines.start[i], lines.end[i]))
-        if not ids:
+    for b in slices(batches, "text", SLICE):
+        found = _Found(b, min_words)
+        new = found.unseen(seen)
+        if not len(new):
             continue
-        keys = band_keys(*line_shingles(texts, BAND_SHINGLE))
-        own = np.repeat(np.arange(len(ids)), keys.shape[1])
-        yield from bucketed(np.array(ids, np.int64), np.zeros(len(ids), np.uint32), own, keys.ravel(), buckets)
+        keys = band_keys(*line_shingles(*found.normal(new), BAND_SHINGLE))
+        own = np.repeat(np.arange(len(new)), keys.shape[1])
+        yield from bucketed(found.key[new], np.zeros(len(new), np.uint32), own, keys.ravel(), buckets)
 
 
 def _line_rows(batches, min_words: int):
-    for b in slices(batches, "text"):
-        lines, key, ok, _ = _found(b, min_words)
-        ids = b.column("doc_id").take(pa.array(lines.text[ok]))
-        yield pa.record_batch([ids, pa.array(lines.number[ok], pa.int64()), pa.array(key[ok])], ["doc_id", "line_no", "node"])
+    for b in slices(batches, "text", SLICE):
+        found = _Found(b, min_words)
+        ids = b.column("doc_id").take(pa.array(found.lines.text[found.ok]))
+        yield pa.record_batch([ids, pa.array(found.lines.number[found.ok], pa.int64()), pa.array(found.key[found.ok])], ["doc_id", "line_no", "node"])
 
 
 def _line_texts(batches, min_words: int):
     seen: set[int] = set()
-    for b in slices(batches, "text"):
-        lines, key, ok, raw = _found(b, min_words)
-        rows = []
-        for i in np.flatnonzero(ok).tolist():
-            if (k := int(key[i])) not in seen:
-                seen.add(k)
-                rows.append((k, _normal(raw, lines.start[i], lines.end[i])))
-        if rows:
-            yield pa.record_batch([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string())], ["node", "line"])
+    for b in slices(batches, "text", SLICE):
+        found = _Found(b, min_words)
+        new = found.unseen(seen)
+        if len(new):
+            data, off = found.normal(new)
+            line = pa.LargeStringArray.from_buffers(len(new), pa.py_buffer(off.astype(np.int64)), pa.py_buffer(data)).cast(pa.string())
+            yield pa.record_batch([pa.array(found.key[new]), line], ["node", "line"])
 
 
 def _tokens(batches):
-    for b in slices(batches, "line"):
-        g, count = line_shingles(b.column("line").to_pylist())
+    for b in slices(batches, "line", SLICE):
+        g, count = line_shingles(*string_buffers(b.column("line")))
         cut = np.cumsum(count)
         sets = [np.unique(g[y - c : y]).tobytes() for y, c in zip(cut.tolist(), count.tolist())]
         yield pa.record_batch([*(b.column(c) for c in ("node", "comp", "chunk", "chunks")), pa.array(sets, pa.binary())], ["node", "comp", "chunk", "chunks", "tokens"])
@@ -127,8 +158,8 @@ def line_components(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BL
     """(node, label) of the classes of lines that have a near copy of another form."""
     width = shuffle_width(docs.sparkSession)
     texts = docs.select("text")
-    keys = shared_tokens(texts.mapInArrow(lambda it: _bands(it, min_words, 4 * width), BUCKETED), width)
-    cand = stored(chunked(connected_components(spanning_edges(keys.select(F.col("tok").alias("key"), "node"), width)), block), "line_candidates")
+    edges = token_edges(texts.mapInArrow(lambda it: _bands(it, min_words, 4 * width), BUCKETED), width)
+    cand = stored(chunked(connected_components(edges), block), "line_candidates")
     facts = cand.agg(F.count("*").alias("n"), F.coalesce(F.max("chunks"), F.lit(0)).alias("c")).first()
     lines = texts.mapInArrow(lambda it: _line_texts(it, min_words), "node long, line string")
     lines = lines.join(F.broadcast(cand) if facts["n"] <= BROADCAST_IDS else cand, "node")
@@ -141,11 +172,13 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """(doc_id, _quern_drop): the numbers of the lines of each document that repeat an earlier line, exactly or nearly."""
     labels = stored(line_components(docs, min_words), "line_labels")
     rows = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _line_rows(it, min_words), "doc_id long, line_no long, node long"), "line_rows")
-    rows = rows.distinct().join(labels, "node", "left").select("doc_id", "line_no", F.coalesce("label", "node").alias("label"))
+    if labels.count() <= BROADCAST_IDS:
+        labels = F.broadcast(labels)
+    rows = rows.join(labels, "node", "left").select("doc_id", "line_no", F.coalesce("label", "node").alias("label"))
     place = F.struct("doc_id", "line_no")
-    groups = stored(rows.groupBy("label").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("label", "first"), "line_groups")
+    groups = stored(rows.groupBy("label").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("label", "first"), "line_groups")
     gone = rows.join(groups, "label").where(~place.eqNullSafe(F.col("first")))
-    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("_quern_drop"))
+    return gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line_no")).alias("_quern_drop"))
 
 
 def _clean(batches, names: list[str]):

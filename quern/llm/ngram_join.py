@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Words, digest, documents, forget, shingle_sets, shuffle_width, slices, stored, string_buffers
-from .components import connected_components, spanning_edges
+from .components import connected_components, forest, spanning_edges
 from .signature_tree import BLOCK, chunked, verified_components
 
 NUM, DEN, SHINGLE = 75, 100, 5
@@ -122,6 +122,29 @@ def _shared(batches):
         yield pa.record_batch([pa.array(node[k]), pa.array(need[k].astype(np.int32)), pa.array(tok[k]), pa.array(df[k].astype(np.int32))], ["node", "need", "tok", "df"])
 
 
+def token_edges(rows: DataFrame, width: int) -> DataFrame:
+    """(a, b) edges that join all nodes of `bucketed` rows that own a token, a forest for each task."""
+    return rows.repartition(width, "bucket").mapInArrow(_token_forest, "a long, b long")
+
+
+def _token_forest(batches):
+    """All rows of some buckets -> a star forest over the nodes that share tokens."""
+    node, tok = [], []
+    for b in batches:
+        for bucket, ids, ref, t in zip(*(b.column(c).to_pylist() for c in ("bucket", "ids", "ref", "tok"))):
+            node.append(np.frombuffer(ids, np.int64)[np.frombuffer(ref, np.uint16)])
+            tok.append(np.frombuffer(t, np.uint32).astype(np.int64) | (bucket << 32))
+    if not node:
+        return
+    node, tok = np.concatenate(node), np.concatenate(tok)
+    order = np.argsort(tok, kind="stable")
+    node, tok = node[order], tok[order]
+    same = np.flatnonzero((tok[1:] == tok[:-1]) & (node[1:] != node[:-1]))
+    if len(same):
+        root, other = forest(node[same], node[same + 1])
+        yield pa.record_batch([pa.array(root), pa.array(other)], ["a", "b"])
+
+
 def _rarest(batches):
     """All shared shingles of some classes -> (key, node) for the rarest ones that each class needs."""
     got = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "need", "tok", "df")] for b in batches if b.num_rows]
