@@ -123,8 +123,21 @@ def _shared(batches):
 
 
 def token_edges(rows: DataFrame, width: int) -> DataFrame:
-    """(a, b) edges that join all nodes of `bucketed` rows that own a token, a forest for each task."""
-    return rows.repartition(width, "bucket").mapInArrow(_token_forest, "a long, b long")
+    """(a, b) edges that join all nodes of `bucketed` rows that own a token.
+
+    Each task makes a forest, in which a node is the far end b of one edge at most. Dealing the edges out by b and making
+    forests again, twice, leaves about one edge a node; a b has no more rows in a deal than there are tasks.
+    """
+    edges = rows.repartition(width, "bucket").mapInArrow(_token_forest, "a long, b long")
+    for _ in range(2):
+        edges = edges.repartition(width, "b").mapInArrow(_edge_forest, "a long, b long")
+    return edges
+
+
+def _edge_forest(batches):
+    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
+    if got:
+        yield pa.record_batch([pa.array(x) for x in forest(*(np.concatenate(x) for x in zip(*got)))], ["a", "b"])
 
 
 def _token_forest(batches):
