@@ -7,13 +7,12 @@ benchmark's shingles only. A document joins a window where that shingle stands;
 bounds where the window must start and end, and the words there are compared exactly, byte by byte.
 
 The benchmark is joined in blocks of WINDOWS_PER_BLOCK windows, each broadcast (at most about 100 bytes a word), so that
-a benchmark of any size has bounded memory; every block meets all documents.
+a benchmark of any size has bounded memory; every block meets all documents. With more than one block the documents get
+a stored unique row id first, by which alone the blocks' hits of a row are put together.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -127,20 +126,23 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
     spark = docs.sparkSession
     items = [(str(r["item_id"]), _words(r["text"])) for r in benchmark.select("item_id", "text").where("text is not null and item_id is not null").toLocalIterator()]
     every = windows(items, window)
-    found, tables = None, []
+    found = None
     if every:
         grams = [(_shingles(words, k), min(k, len(words))) for _, words in every]
         rarity = rarity_counts(docs, np.concatenate([g for g, _ in grams]), sorted({n for _, n in grams}))
-    for at in range(0, max(1, len(every)), WINDOWS_PER_BLOCK):
+    texts = docs.select("doc_id", "text")
+    blocks = range(0, max(1, len(every)), WINDOWS_PER_BLOCK)
+    numbered = stored(texts.withColumn("row", F.monotonically_increasing_id()), "rows") if len(blocks) > 1 else texts.withColumn("row", F.lit(0).cast("long"))
+    for at in blocks:
         index = WindowIndex(every[at : at + WINDOWS_PER_BLOCK], rarity, k) if every else None
         shared = spark.sparkContext.broadcast(index)
-        part = docs.select("doc_id", "text").mapInArrow(lambda it, s=shared: _scan(it, s), "doc_id long, row long, n_words long, hits binary, items array<string>")
-        if len(every) > WINDOWS_PER_BLOCK:
+        part = numbered.mapInArrow(lambda it, s=shared: _scan(it, s), "doc_id long, row long, n_words long, hits binary, items array<string>")
+        if len(blocks) > 1:
             part = stored(part, "hits")
-            tables.append(part)
         found = part if found is None else found.unionByName(part)
-    if tables:
-        merged = found.groupBy("row", "doc_id").agg(F.first("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    if len(blocks) > 1:
+        forget(numbered)
+        merged = found.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list("hits").alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
         found = merged.mapInArrow(_merged, "doc_id long, n_words long, n_hit long, items array<string>")
     else:
         found = found.select("doc_id", "n_words", (F.length("hits") / 8).cast("long").alias("n_hit"), "items")
@@ -165,9 +167,8 @@ def _scan(batches, shared):
         inside = np.flatnonzero(np.cumsum(hit[:-1]) > 0)
         cut = np.searchsorted(inside, w.first)
         hits = [(inside[x:y] - f).tobytes() for x, y, f in zip(cut[:-1], cut[1:], w.first[:-1])]
-        rows = [int.from_bytes(hashlib.blake2b(data[x:y].tobytes(), digest_size=8).digest(), "little", signed=True) if index and len(index.items) >= WINDOWS_PER_BLOCK else 0 for x, y in zip(off[:-1], off[1:])]
         yield pa.record_batch(
-            [b.column("doc_id").cast(pa.int64()), pa.array(rows, pa.int64()), pa.array(np.diff(w.first), pa.int64()), pa.array(hits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
+            [b.column("doc_id").cast(pa.int64()), b.column("row"), pa.array(np.diff(w.first), pa.int64()), pa.array(hits, pa.binary()), pa.array([sorted(x) for x in items], pa.list_(pa.string()))],
             ["doc_id", "row", "n_words", "hits", "items"],
         )
 
