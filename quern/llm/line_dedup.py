@@ -1,11 +1,22 @@
 """Fuzzy line deduplication by MinHash.
 
-A line of MIN_WORDS words or more is a set of 5-character shingles of its normal form (lower case in A-Z, white space as
-one space). Equal normal forms are one class. A one-permutation MinHash of 48 bins (empty bins borrow from the next) in
-16 bands of 3 proposes lines. Its shingles have 12 characters: lines of one language share many of 5, which would propose
-nearly every line. Replaced words that bring the similarity to 0.8 leave about 0.68 of the longer shingles, and such a
-pair is missed with a chance of about 0.002; closer ones far less. Proposed lines are compared exactly (Jaccard 0.8 or more, by the block join of `signature_tree`), linked lines form components by
-distributed union-find, and of each component only the first line, by doc_id and line number, stays.
+A line that holds a word, however short, is a set of 5-character shingles of its normal form (lower case in A-Z, white
+space as one space); below 5 characters the line is its only shingle. Equal normal forms are one class. Lines are proposed
+to each other in two ways:
+
+- Short ones, of fewer than SHORT shingles, by their trims. One changed character inside a line breaks 5 shingles of either
+  line, too many there for a similarity of 0.8, so a pair has one run of characters in common, and each line is that run
+  with at most a fifth of its shingles cut off at its ends. All such runs of a line are keys: no pair is missed. Where runs
+  of characters repeat, a pair need not have that one run: lines that hold a shingle twice also have their set, and the set
+  less any one shingle, as keys. Such a pair is missed if more shingles differ, or one line holds none twice.
+- Others by a one-permutation MinHash of 48 bins (empty bins borrow from the next) in 16 bands of 3. Its shingles have 12
+  characters: lines of one language share many of 5, which would propose nearly every line. Replaced words that bring the
+  similarity to 0.8 leave about 0.68 of the longer shingles, and such a pair is missed with a chance of about 0.002; closer
+  ones far less.
+
+Lines that could be partners of either kind have the keys of both. Proposed lines are compared exactly (Jaccard 0.8 or
+more, by the block join of `signature_tree`), linked lines form components by distributed union-find, and of each
+component only the first line, by doc_id and line number, stays.
 """
 
 from __future__ import annotations
@@ -15,38 +26,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _BYTE, _GOLD, SPACE, Words, documents, mix, sequence_hashes, shuffle_width, slices, stored, string_buffers
+from .common import _BASE, _BYTE, _GOLD, SPACE, Words, documents, mix, sequence_hashes, shuffle_width, slices, stored, string_buffers
 from .components import connected_components
 from .lines import Lines
 from .ngram_join import BROADCAST_IDS, BUCKETED, bucketed, token_edges
 from .signature_tree import BLOCK, chunked, verified_components
 
-MIN_WORDS, SHINGLE, NUM, DEN = 8, 5, 80, 100
+SHINGLE, NUM, DEN = 5, 80, 100
 BINS, ROWS, BAND_SHINGLE = 48, 3, 12
+#: Lines of fewer shingles can differ at their ends only; and how many shingles a partner of one can have at most.
+SHORT, PARTNER = 36, 43
 #: Bytes of text that a Python worker handles at once.
 SLICE = 1 << 19
 SEEN = 500_000
 
 
 class _Found:
-    """The lines of a slice that hold min_words or more: their classes (hashes of the normal forms) and normal forms."""
+    """The lines of a slice that hold a word: their classes (hashes of the normal forms) and normal forms."""
 
-    def __init__(self, b, min_words: int):
+    def __init__(self, b):
         data, off = string_buffers(b.column("text"))
         self.words = Words(data, off, SPACE, lower=True)
         self.lines = Lines(self.words.data, off, self.words)
         self.key = self.lines.hashes(self.words.hashes()).view(np.int64)
-        self.ok = self.lines.count >= min_words
 
     def unseen(self, seen: set[int]) -> np.ndarray:
         """One line of each class that is not in `seen`, which gets them and forgets all now and then."""
-        at = np.flatnonzero(self.ok)
-        key, first = np.unique(self.key[at], return_index=True)
+        key, first = np.unique(self.key, return_index=True)
         new = np.array([k not in seen for k in key.tolist()], bool)
         if len(seen) > SEEN:
             seen.clear()
         seen.update(key[new].tolist())
-        return np.sort(at[first[new]])
+        return np.sort(first[new])
 
     def normal(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the normal forms of the chosen lines (indices in order), one after the other, and their offsets."""
@@ -116,29 +127,99 @@ def band_keys(g: np.ndarray, count: np.ndarray) -> np.ndarray:
     return out
 
 
-def _bands(batches, min_words: int, buckets: int):
+def _take(data: np.ndarray, off: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The chosen ones of texts (indices in order) in the same form."""
+    keep = np.zeros(len(off) - 1, bool)
+    keep[chosen] = True
+    size = np.diff(off)
+    return data[np.repeat(keep, size)], np.r_[0, np.cumsum(size[chosen])]
+
+
+def trim_keys(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of every run of a line that leaves out at most a fifth of its shingles, at its ends; h are the
+    hashes of the lines' characters."""
+    power = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), _BASE, np.uint64)])
+    back = np.multiply.accumulate(np.r_[np.uint64(1), np.full(len(h), pow(int(_BASE), -1, 1 << 64), np.uint64)])
+    upto = np.r_[np.uint64(0), np.cumsum(h * power[:-1], dtype=np.uint64)]
+    depth = (np.diff(off) - SHINGLE + 1) * (DEN - NUM) // DEN
+    own, keys = [], []
+    for cut in range(int(depth.max(initial=-1)) + 1):
+        line = np.flatnonzero(depth >= cut)
+        for left in range(cut + 1):
+            x, y = off[line] + left, off[line + 1] - (cut - left)
+            own.append(line)
+            keys.append(mix((upto[y] - upto[x]) * back[x] + (y - x).astype(np.uint64) * _GOLD))
+    return np.concatenate([np.zeros(0, np.int64), *own]), np.concatenate([np.zeros(0, np.uint64), *keys])
+
+
+def set_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, hash) of the shingle set of lines that repeat a shingle or have too few for trims, and of that set without
+    one shingle; none of lines of more than PARTNER distinct ones."""
+    g, count = line_shingles(data, off)
+    line = np.repeat(np.arange(len(count)), count)
+    order = np.lexsort((g, line))
+    g, line = g[order], line[order]
+    new = np.r_[True, (g[1:] != g[:-1]) | (line[1:] != line[:-1])] if len(g) else np.zeros(0, bool)
+    g, line = mix(g[new]), line[new]
+    size = np.bincount(line, minlength=len(count))
+    whole = np.add.reduceat(g, np.cumsum(size) - size)
+    wanted = (size <= PARTNER) & ((size < count) | (count < NUM // (DEN - NUM)))
+    one_less = (wanted & (size > NUM // (DEN - NUM)))[line]
+    return np.r_[np.flatnonzero(wanted), line[one_less]], np.r_[mix(whole[wanted]), mix(whole[line[one_less]] - g[one_less])]
+
+
+def _few(h: np.ndarray, off: np.ndarray, lines: np.ndarray, n: int) -> np.ndarray:
+    """Those of the lines (of n shingles or more) that have at most PARTNER distinct ones among their first n."""
+    width = n + SHINGLE - 1
+    g = sequence_hashes(np.r_[h[(off[lines][:, None] + np.arange(width)).ravel()], np.zeros(SHINGLE - 1, np.uint64)], SHINGLE)
+    g = np.sort(g.reshape(len(lines), width)[:, :n], axis=1)
+    return lines[(g[:, 1:] != g[:, :-1]).sum(axis=1) < PARTNER]
+
+
+def line_keys(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(line, key), line ascending, of non-empty normal forms: lines that share a key are proposed to each other."""
+    h, at = _characters(data, off)
+    count = np.maximum(np.diff(at) - SHINGLE + 1, 1)
+    long, short = np.flatnonzero(count >= SHORT), np.flatnonzero((count <= PARTNER) & (np.diff(at) >= SHINGLE))
+    found = []
+    if len(long):
+        bands = band_keys(*line_shingles(*_take(data, off, long), BAND_SHINGLE))
+        found.append((np.repeat(long, bands.shape[1]), bands.ravel()))
+    if len(short):
+        own, keys = trim_keys(*_take(h, at, short))
+        found.append((short[own], keys))
+    few = _few(h, at, np.flatnonzero(count > PARTNER), PARTNER + 1)
+    few = np.sort(np.r_[short, few[count[few] < 2 * PARTNER], _few(h, at, few[count[few] >= 2 * PARTNER], 2 * PARTNER)])
+    if len(few):
+        own, keys = set_keys(*_take(data, off, few))
+        found.append((few[own], keys))
+    own, keys = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(own, kind="stable")
+    return own[order], keys[order]
+
+
+def _bands(batches, buckets: int):
     seen: set[int] = set()
     for b in slices(batches, "text", SLICE):
-        found = _Found(b, min_words)
+        found = _Found(b)
         new = found.unseen(seen)
         if not len(new):
             continue
-        keys = band_keys(*line_shingles(*found.normal(new), BAND_SHINGLE))
-        own = np.repeat(np.arange(len(new)), keys.shape[1])
-        yield from bucketed(found.key[new], np.zeros(len(new), np.uint32), own, keys.ravel(), buckets)
+        own, keys = line_keys(*found.normal(new))
+        yield from bucketed(found.key[new], np.zeros(len(new), np.uint32), own, keys, buckets)
 
 
-def _line_rows(batches, min_words: int):
+def _line_rows(batches):
     for b in slices(batches, "text", SLICE):
-        found = _Found(b, min_words)
-        ids = b.column("doc_id").take(pa.array(found.lines.text[found.ok]))
-        yield pa.record_batch([ids, pa.array(found.lines.number[found.ok], pa.int64()), pa.array(found.key[found.ok])], ["doc_id", "line_no", "node"])
+        found = _Found(b)
+        ids = b.column("doc_id").take(pa.array(found.lines.text))
+        yield pa.record_batch([ids, pa.array(found.lines.number, pa.int64()), pa.array(found.key)], ["doc_id", "line_no", "node"])
 
 
-def _line_texts(batches, min_words: int):
+def _line_texts(batches):
     seen: set[int] = set()
     for b in slices(batches, "text", SLICE):
-        found = _Found(b, min_words)
+        found = _Found(b)
         new = found.unseen(seen)
         if len(new):
             data, off = found.normal(new)
@@ -154,24 +235,24 @@ def _tokens(batches):
         yield pa.record_batch([*(b.column(c) for c in ("node", "comp", "chunk", "chunks")), pa.array(sets, pa.binary())], ["node", "comp", "chunk", "chunks", "tokens"])
 
 
-def line_components(docs: DataFrame, min_words: int = MIN_WORDS, block: int = BLOCK) -> DataFrame:
+def line_components(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """(node, label) of the classes of lines that have a near copy of another form."""
     width = shuffle_width(docs.sparkSession)
     texts = docs.select("text")
-    edges = token_edges(texts.mapInArrow(lambda it: _bands(it, min_words, 4 * width), BUCKETED), width)
+    edges = token_edges(texts.mapInArrow(lambda it: _bands(it, 4 * width), BUCKETED), width)
     cand = stored(chunked(connected_components(edges), block), "line_candidates")
     facts = cand.agg(F.count("*").alias("n"), F.coalesce(F.max("chunks"), F.lit(0)).alias("c")).first()
-    lines = texts.mapInArrow(lambda it: _line_texts(it, min_words), "node long, line string")
+    lines = texts.mapInArrow(_line_texts, "node long, line string")
     lines = lines.join(F.broadcast(cand) if facts["n"] <= BROADCAST_IDS else cand, "node")
     lines = lines.groupBy("node").agg(F.min("line").alias("line"), *(F.min(c).alias(c) for c in ("comp", "chunk", "chunks")))
     sets = lines.select("node", "comp", "chunk", "chunks", "line").mapInArrow(_tokens, "node long, comp long, chunk long, chunks long, tokens binary")
     return verified_components(sets, NUM, DEN, width, facts["c"] > 1)
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, _quern_drop): the numbers of the lines of each document that repeat an earlier line, exactly or nearly."""
-    labels = stored(line_components(docs, min_words), "line_labels")
-    rows = stored(docs.select("doc_id", "text").mapInArrow(lambda it: _line_rows(it, min_words), "doc_id long, line_no long, node long"), "line_rows")
+    labels = stored(line_components(docs), "line_labels")
+    rows = stored(docs.select("doc_id", "text").mapInArrow(_line_rows, "doc_id long, line_no long, node long"), "line_rows")
     if labels.count() <= BROADCAST_IDS:
         labels = F.broadcast(labels)
     rows = rows.join(labels, "node", "left").select("doc_id", "line_no", F.coalesce("label", "node").alias("label"))
@@ -196,15 +277,15 @@ def _clean(batches, names: list[str]):
         yield pa.record_batch([cols[n] if n in cols else b.column(n) for n in names], names)
 
 
-def deduplicated(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def deduplicated(docs: DataFrame) -> DataFrame:
     """docs (doc_id, text, ...) without lines that repeat an earlier line, with n_lines and n_removed.
 
     Null texts stay null and empty ones empty. Repeated rows are one document: their lines stay or go alike. Rows with a
-    null id count as one document before all others. Lines of fewer than min_words words are left alone. Columns of docs
-    called n_lines or n_removed are replaced.
+    null id count as one document before all others. Lines without a word are left alone. Columns of docs called n_lines or
+    n_removed are replaced.
     """
     docs = docs.drop("n_lines", "n_removed")
-    drop = repeated_lines(docs, min_words).withColumnRenamed("doc_id", "_quern_id")
+    drop = repeated_lines(docs).withColumnRenamed("doc_id", "_quern_id")
     rows = docs.join(drop, docs["doc_id"].eqNullSafe(F.col("_quern_id")), "left").select(*docs.columns, "_quern_drop")
     names = [*docs.columns, "n_lines", "n_removed"]
     schema = docs.limit(0).withColumns({"n_lines": F.lit(0).cast("long"), "n_removed": F.lit(0).cast("long")}).schema
