@@ -6,6 +6,10 @@ contiguous region, and the region's blocks are the text. The weights are log-odd
 (in an article or main element, in a link, elsewhere), a tag's by its name. Elements that are never content (menus,
 page headers and footers, sidebars, notices, adverts, forms, scripts, styles, reader comments), by name, role, class or
 id, give their tags' negative scores but no words, so the region may cross but never show them.
+
+A class or id says so only of an element that does not hold most of the page's characters, unless an article or main element
+lies outside it, and not behind has-, with-, without- or no-. Text outside article and main elements is left out only if they hold most of
+the page's characters; otherwise the scan decides.
 """
 
 from __future__ import annotations
@@ -29,6 +33,8 @@ _CUE = re.compile(
     r"pagination|pager|footer|masthead|site-?header|page-?header|toolbar|skip-?link)(?:$|[\s_-])",
     re.I,
 )
+#: A class that tells what else a page has or lacks.
+_MODIFIER = re.compile(r"(?:^|(?<=[\s_-]))(?:has|have|with|without|no)[_-]\S*", re.I)
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "alert", "dialog", "alertdialog", "form", "menu", "menubar", "toolbar"}
 _RAW = {"script", "style", "noscript", "template", "iframe", "textarea", "select", "svg", "math", "object", "video", "audio", "canvas", "title", "head"}
 _NEVER = {"nav", "footer", "aside", "form", "button", "dialog", "menu", "input", "label", "fieldset", "datalist"}
@@ -37,18 +43,28 @@ _INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i
 _CLOSES_P = set("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 
 
-def _never(name: str, attributes: str, inside: bool) -> bool:
+def _never(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is never content for sure, and whether a class or id says so."""
     if name in _NEVER or (name == "header" and not inside):
-        return True
+        return True, False
+    cue = False
     for m in _ATTRIBUTE.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "hidden" or (key == "aria-hidden" and value == "true"):
-            return True
+            return True, False
         if key == "role" and value in _ROLES:
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _CUE.search(value):
-            return True
-    return False
+            return True, False
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _CUE.search(value) and _CUE.search(_MODIFIER.sub("", value)):
+            cue = True
+    return False, cue
+
+
+def _closed_raw(page: str, pos: int, name: str, attributes: str) -> bool:
+    """Whether a raw element is closed in itself (<svg/>); of an HTML one its own end tag must not come next."""
+    if not attributes.rstrip().endswith("/"):
+        return False
+    after = None if name in ("svg", "math") else re.compile(rf"<(/?){re.escape(name)}\b", re.I).search(page, pos)
+    return after is None or not after[1]
 
 
 def tokens(page: str):
@@ -57,7 +73,29 @@ def tokens(page: str):
     context: "never", "link", "main" (in an article or main element) or "plain". An element left open ends with the
     element around it.
     """
-    stack: list[tuple[str, bool]] = []  # name, never content
+    seq = list(_tokens(page))
+    held, mains, total = Counter(), Counter(), 0
+    for kind, value, context, cues in seq:
+        if kind == "text" and context != "never":
+            size = len(value.strip())
+            total += size
+            for c in cues:
+                held[c] += size
+        elif kind == "tag" and value in ("article", "main"):
+            mains[None] += 1
+            for c in cues:
+                mains[c] += 1
+    spared = {c for c, size in held.items() if 2 * size > total and mains[c] == mains[None]}
+    for kind, value, context, cues in seq:
+        if kind != "block" and not spared.issuperset(cues):
+            context = True if kind == "tag" else "never"
+        yield kind, value, context
+
+
+def _tokens(page: str):
+    """As tokens, with the elements around that a class or id calls never content, which do not count in context."""
+    stack: list[tuple[str, bool, int]] = []  # name, never content, place if by class or id or else -1
+    cues: tuple[int, ...] = ()
     blocked = main = links = at = 0
     pos, n = 0, len(page)
     while pos < n:
@@ -67,53 +105,60 @@ def tokens(page: str):
         else:
             at = m.start()
         if at > pos:
-            yield "text", page[pos:at], "never" if blocked else "link" if links else "main" if main else "plain"
+            yield "text", page[pos:at], "never" if blocked else "link" if links else "main" if main else "plain", cues
         if m is None:
             return
         pos = m.end()
         if m[2] is None:
             if page.startswith("<![CDATA[", at):
-                yield "text", page[at + 9 : pos - 3], "never" if blocked else "plain"
+                yield "text", page[at + 9 : pos - 3], "never" if blocked else "plain", cues
             continue
         name, closing, attributes = m[2].lower(), bool(m[1]), m[3]
         if name in _RAW and not closing:
+            if _closed_raw(page, pos, name, attributes):
+                yield "tag", name, True, cues
+                yield "block", None, None, cues
+                continue
             end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, pos)
             if name == "head" and end is None:
                 body = re.compile(r"<body\b", re.I).search(page, pos)
                 pos = body.start() if body else pos
             else:
                 pos = end.end() if end else n
-            yield "tag", name, True
-            yield "block", None, None
+            yield "tag", name, True, cues
+            yield "block", None, None, cues
             continue
         if name not in _INLINE:
-            yield "block", None, None
+            yield "block", None, None, cues
         if closing:
             depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name), None)
-            if depth is None or (name in _INLINE and any(x not in _INLINE for x, _ in stack[depth + 1 :])):
+            if depth is None or (name in _INLINE and any(x not in _INLINE for x, *_ in stack[depth + 1 :])):
                 continue
             gone = stack[depth:]
             del stack[depth:]
-            never = bool(blocked)
-            blocked -= sum(x for _, x in gone)
-            main -= sum(x in ("article", "main") for x, _ in gone)
-            links -= sum(x == "a" for x, _ in gone)
-            yield "tag", "/" + name, never
+            never, around = bool(blocked), cues
+            blocked -= sum(x for _, x, _ in gone)
+            main -= sum(x in ("article", "main") for x, *_ in gone)
+            links -= sum(x == "a" for x, *_ in gone)
+            cues = cues[: len(cues) - sum(x >= 0 for *_, x in gone)]
+            yield "tag", "/" + name, never, around
             continue
         if name in _CLOSES_P:
-            while stack and (stack[-1][0] == "p" or (stack[-1][0] in _INLINE and any(x == "p" for x, _ in stack))):
-                x, never = stack.pop()
+            while stack and (stack[-1][0] == "p" or (stack[-1][0] in _INLINE and any(x == "p" for x, *_ in stack))):
+                x, never, cue = stack.pop()
                 blocked -= never
+                cues = cues[: len(cues) - (cue >= 0)]
                 links -= x == "a"
-        never = _never(name, attributes, main > 0)
+        never, cue = _never(name, attributes, main > 0)
         if name not in _VOID and not attributes.rstrip().endswith("/"):
-            stack.append((name, never))
+            stack.append((name, never, at if cue else -1))
             blocked += never
+            cues = (*cues, at) if cue else cues
             main += name in ("article", "main")
             links += name == "a"
-        yield "tag", name, bool(blocked)
+        yield "tag", name, bool(blocked), cues
         if name == "br":
-            yield "text", "\n", "never" if blocked else "main" if main else "plain"
+            yield "text", "\n", "never" if blocked else "main" if main else "plain", cues
 
 
 def labelled_pages() -> list[tuple[str, set[str]]]:
@@ -167,7 +212,11 @@ def extract(page: str | None) -> str:
     word, tag = weights()
     scores, items = [], []
     seq = list(tokens(page))
-    whole = any(kind == "text" and context == "main" and value.strip() for kind, value, context in seq)
+    held = Counter()
+    for kind, value, context in seq:
+        if kind == "text":
+            held[context] += len(value.strip())
+    whole = held["main"] > held["plain"]
     for kind, value, context in seq:
         if kind == "block":
             items.append(None)
@@ -176,7 +225,7 @@ def extract(page: str | None) -> str:
             scores.append(tag.get(value.lstrip("/"), -0.5) if not context else -0.5)
             items.append("")
         else:
-            # beside an article or main element nothing else is content; a link in it is
+            # beside article or main elements that hold most of the page nothing else is content; a link in them is
             if context == "never" or (whole and context == "plain"):
                 continue
             value = html.unescape(value)

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quern.llm import decontaminate, line_dedup
+from quern.llm import decontaminate, html_extract, line_dedup
 from tests.llm.test_brute_force import SF, Union, lower, words
 
 
@@ -91,3 +91,28 @@ def test_short_linked_lines_share_a_key():
         for g in sets[x]:
             by_shingle.setdefault(g, []).append(i)
     assert linked > 1000
+
+
+STORY = "<div class='entry'>" + "".join(f"<p>{'Story words go on and on here ' * 6}{i}.</p>" for i in range(5)) + "</div>"
+ARTICLE = f"<article><p>{'real text ' * 30}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"{STORY}<article><h2>Teaser</h2><p>A short blurb.</p></article>",
+        f"<div class='container has-sidebar'>{STORY}</div>",
+        f"<div class='post no-comments'>{STORY}</div>",
+        f"<div class='page right-sidebar'>{STORY}<div class='sidebar'><p>Never shown</p></div></div>",
+        f"<svg class='i'/>{STORY}<svg><text>Never shown</text></svg>",
+        f"<script src='x'/>{STORY}<script>Never shown</script>",
+    ],
+)
+def test_html_keeps_the_story(page):
+    text = html_extract.extract(f"<body>{page}</body>")
+    assert all(f"here {i}." in text for i in range(5)) and "Never shown" not in text
+
+
+def test_html_keeps_the_article():
+    for page in (f"<div class='layout with-sidebar'>{ARTICLE}<div class='sidebar'>Links</div></div>", f"<p>Loose words</p>{ARTICLE}<div class='comments'><p>{'so true ' * 200}</p></div>", f"<script/>hidden</script>{ARTICLE}"):
+        assert html_extract.extract(f"<body>{page}</body>") == ("real text " * 30).strip()
