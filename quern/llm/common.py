@@ -166,14 +166,28 @@ def _join(x: np.ndarray, y: np.ndarray, at: int) -> np.ndarray:
     return (x[:n] * _BASE) ^ (y[at : at + n] + (x[:n] >> np.uint64(32)))
 
 
+def distinct_sorted(g: np.ndarray, cut: np.ndarray) -> list[np.ndarray]:
+    """The sorted distinct values of each run between neighbouring cuts of g, which is changed."""
+    bounds = cut.tolist()
+    for x, y in zip(bounds, bounds[1:]):
+        g[x:y].sort()
+    new = np.ones(len(g), bool)
+    new[1:] = g[1:] != g[:-1]
+    new[cut[:-1][np.diff(cut) > 0]] = True
+    g = g[new]
+    bounds = np.r_[0, np.cumsum(new)][cut].tolist()
+    return [g[x:y] for x, y in zip(bounds, bounds[1:])]
+
+
 def shingle_sets(h: np.ndarray, first: np.ndarray, k: int) -> list[np.ndarray]:
     """Per text the sorted distinct hashes of its k-word shingles; fewer words make one shingle, none an empty set."""
-    g, out = sequence_hashes(h, k), []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        if b - a >= k:
-            out.append(np.unique(g[a : b - k + 1]))
-        else:
-            out.append(sequence_hashes(h[a:b], b - a) if b > a else g[:0])
+    g, n = sequence_hashes(h, k), np.diff(first)
+    many = np.maximum(n - k + 1, 0)
+    cut = np.r_[0, np.cumsum(many)]
+    at = np.repeat(first[:-1] - cut[:-1], many) + np.arange(int(cut[-1]))
+    out = distinct_sorted(g[at], cut)
+    for i in np.flatnonzero((n > 0) & (n < k)).tolist():
+        out[i] = sequence_hashes(h[first[i] : first[i + 1]], int(n[i]))
     return out
 
 

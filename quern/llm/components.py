@@ -1,4 +1,4 @@
-"""Distributed connected components over an edge table: min-label propagation with pointer jumping."""
+"""Distributed connected components over an edge table: min-label hooking with contraction."""
 
 from __future__ import annotations
 
@@ -34,28 +34,49 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ids[lab[other]], ids[other]
 
 
+def _low_pointers(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, p), the smallest neighbour, and (u, label): the smallest neighbour's smallest neighbour of each end of an edge, itself counted as its neighbour."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    low = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("p")), "pointers")
+    return low, stored(low.alias("x").join(low.select(F.col("u").alias("q"), F.col("p").alias("label")), F.col("p") == F.col("q")).select("u", "label"), "labels")
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, comp) for each end of an edge, comp the smallest node reached.
 
     Edges with a null end are ignored; loops and repeated edges change nothing; an empty table gives an empty one.
-    Each round joins every edge with its end's label, takes minima (combined before the shuffle) and then
-    follows labels once, so long chains shorten quickly. The rounds' tables go to the shared folder.
+    Each round sends every node to its smallest neighbour's smallest neighbour and goes on with the edges between
+    different labels only, so that a round's table is a fraction of the one before; at the end the rounds' labels are
+    composed, the smallest tables first. Minima are combined before the shuffle; a label that many nodes share is a hot key
+    of one side of a join only, which AQE splits. The rounds' tables go to the shared folder.
     """
-    both = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.col(a).alias("u"), F.col(b).alias("v"))
-    graph = stored(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "graph")
-    labels = stored(graph.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp")), "labels")
-    while True:
-        near = graph.join(labels, graph.v == labels.node).groupBy("u").agg(F.min("comp").alias("m"))
-        step = labels.join(near, labels.node == near.u).select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("comp"))
-        hop = labels.select(F.col("node").alias("root"), F.col("comp").alias("root_comp"))
-        step = step.join(hop, step.comp == hop.root).select("node", "old", F.least("comp", "root_comp").alias("comp"))
-        new = stored(step, "labels")
-        forget(labels)
-        labels = new.select("node", "comp")
-        labels._quern_path = new._quern_path
-        if not new.where("old <> comp").limit(1).count():
-            forget(graph)
-            return labels
+    at = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+    graph, steps = stored(at.distinct(), "graph"), []
+    while not steps or not graph.isEmpty():
+        low, labels = _low_pointers(graph)
+        forget(low)
+        steps.append(labels)
+        of_u = labels.select("u", F.col("label").alias("lu"))
+        of_v = labels.select(F.col("u").alias("v"), F.col("label").alias("lv"))
+        across = graph.join(of_u, "u").join(of_v, "v").select("lu", "lv")
+        # a label that was sent on itself stays joined to where it went
+        moved = labels.select(F.col("label").alias("lu")).distinct().join(labels.select(F.col("u").alias("lu"), F.col("label").alias("lv")), "lu")
+        rest = across.unionByName(moved).where("lu <> lv").select(F.greatest("lu", "lv").alias("u"), F.least("lu", "lv").alias("v")).distinct()
+        new = stored(rest, "graph")
+        forget(graph)
+        graph = new
+    forget(graph)
+    final = steps.pop()
+    while steps:
+        here = steps.pop()
+        after = final.select(F.col("u").alias("l"), F.col("label").alias("then"))
+        out = stored(here.join(after, here.label == after.l, "left").select("u", F.coalesce("then", "label").alias("label")), "labels")
+        forget(here)
+        forget(final)
+        final = out
+    out = final.select(F.col("u").alias("node"), F.col("label").alias("comp"))
+    out._quern_path = final._quern_path
+    return out
 
 
 def spanning_edges(spark_rows: DataFrame, width: int) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, Words, digest, documents, forget, shingle_sets, shuffle_width, slices, stored, string_buffers
-from .components import connected_components, forest, spanning_edges
+from .components import connected_components, spanning_edges
 from .signature_tree import BLOCK, chunked, verified_components
 
 NUM, DEN, SHINGLE = 75, 100, 5
@@ -30,21 +30,24 @@ NUM, DEN, SHINGLE = 75, 100, 5
 BROADCAST_IDS = 2_000_000
 
 
-def _sets(batch, text: str, k: int) -> list[np.ndarray]:
-    words = Words(*string_buffers(batch.column(text)), SPACE, lower=True)
+def _sets(texts, k: int) -> list[np.ndarray]:
+    """The shingle sets of a column of texts."""
+    words = Words(*string_buffers(texts), SPACE, lower=True)
     return shingle_sets(words.hashes(), words.first, k)
 
 
 def classes(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, node): node is a 64-bit fingerprint of the document's set, null for an empty set."""
+    """(doc_id, n_shingles, node, row): node is a 64-bit fingerprint of the document's set, null for an empty set; row is
+    a hash of the text, which with doc_id tells rows apart."""
 
     def run(batches):
         for b in slices(batches, "text"):
-            sets = _sets(b, "text", k)
+            sets = _sets(b.column("text"), k)
             n = np.array([len(s) for s in sets])
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), pa.array([digest(s) for s in sets], pa.int64(), mask=n == 0)], ["doc_id", "n_shingles", "node"])
+            node = pa.array([digest(s) for s in sets], pa.int64(), mask=n == 0)
+            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64()), node, b.column("row")], ["doc_id", "n_shingles", "node", "row"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, node long")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("row")).mapInArrow(run, "doc_id long, n_shingles long, node long, row long")
 
 
 def _prefixes(batches, buckets: int, k: int, num: int, den: int):
@@ -52,7 +55,7 @@ def _prefixes(batches, buckets: int, k: int, num: int, den: int):
     seen: set[int] = set()
     for b in slices(batches, "text"):
         ids, need, tok = [], [], []
-        for s in _sets(b, "text", k):
+        for s in _sets(b.column("text"), k):
             if not len(s) or (node := digest(s)) in seen:
                 continue
             seen.add(node)
@@ -74,16 +77,26 @@ def bucketed(ids: np.ndarray, need: np.ndarray, own: np.ndarray, tok: np.ndarray
     for lo in range(0, len(ids), 60_000):
         x, y = np.searchsorted(own, [lo, lo + 60_000])
         o, t = own[x:y], tok[x:y]
+        if x == y:
+            continue
         # the low 32 bits travel, remixed ones choose the bucket
         bucket = (((t * np.uint64(0xD1342543DE82EF95)) >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         bucket, o, t = bucket[order], o[order], (t[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-        cut = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(bucket)]
-        rows = []
-        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist()):
-            here, ref = np.unique(o[a:b], return_inverse=True)
-            rows.append((int(bucket[a]), ids[here].tobytes(), need[here].tobytes(), ref.astype(np.uint16).tobytes(), t[a:b].tobytes()))
-        yield pa.record_batch([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.int64(), *[pa.binary()] * 4))], ["bucket", "ids", "need", "ref", "tok"])
+        start = np.r_[True, bucket[1:] != bucket[:-1]]
+        new = start | np.r_[True, o[1:] != o[:-1]]
+        cut, place = np.r_[np.flatnonzero(start), len(bucket)], np.cumsum(new) - 1
+        first = place[cut[:-1]]
+        ref = (place - np.repeat(first, np.diff(cut))).astype(np.uint16)
+        here, idcut = o[new], np.r_[first, int(new.sum())]
+        blobs = (_blobs(ids[here], idcut), _blobs(need[here], idcut), _blobs(ref, cut), _blobs(t, cut))
+        yield pa.record_batch([pa.array(bucket[cut[:-1]]), *blobs], ["bucket", "ids", "need", "ref", "tok"])
+
+
+def _blobs(values: np.ndarray, cut: np.ndarray) -> pa.Array:
+    """A binary column: the bytes of the values between neighbouring cuts."""
+    off = (cut * values.itemsize).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(values))])
 
 
 BUCKETED = "bucket long, ids binary, need binary, ref binary, tok binary"
@@ -122,42 +135,6 @@ def _shared(batches):
         yield pa.record_batch([pa.array(node[k]), pa.array(need[k].astype(np.int32)), pa.array(tok[k]), pa.array(df[k].astype(np.int32))], ["node", "need", "tok", "df"])
 
 
-def token_edges(rows: DataFrame, width: int) -> DataFrame:
-    """(a, b) edges that join all nodes of `bucketed` rows that own a token.
-
-    Each task makes a forest, in which a node is the far end b of one edge at most. Dealing the edges out by b and making
-    forests again, twice, leaves about one edge a node; a b has no more rows in a deal than there are tasks.
-    """
-    edges = rows.repartition(width, "bucket").mapInArrow(_token_forest, "a long, b long")
-    for _ in range(2):
-        edges = edges.repartition(width, "b").mapInArrow(_edge_forest, "a long, b long")
-    return edges
-
-
-def _edge_forest(batches):
-    got = [(b.column("a").to_numpy(), b.column("b").to_numpy()) for b in batches if b.num_rows]
-    if got:
-        yield pa.record_batch([pa.array(x) for x in forest(*(np.concatenate(x) for x in zip(*got)))], ["a", "b"])
-
-
-def _token_forest(batches):
-    """All rows of some buckets -> a star forest over the nodes that share tokens."""
-    node, tok = [], []
-    for b in batches:
-        for bucket, ids, ref, t in zip(*(b.column(c).to_pylist() for c in ("bucket", "ids", "ref", "tok"))):
-            node.append(np.frombuffer(ids, np.int64)[np.frombuffer(ref, np.uint16)])
-            tok.append(np.frombuffer(t, np.uint32).astype(np.int64) | (bucket << 32))
-    if not node:
-        return
-    node, tok = np.concatenate(node), np.concatenate(tok)
-    order = np.argsort(tok, kind="stable")
-    node, tok = node[order], tok[order]
-    same = np.flatnonzero((tok[1:] == tok[:-1]) & (node[1:] != node[:-1]))
-    if len(same):
-        root, other = forest(node[same], node[same + 1])
-        yield pa.record_batch([pa.array(root), pa.array(other)], ["a", "b"])
-
-
 def _rarest(batches):
     """All shared shingles of some classes -> (key, node) for the rarest ones that each class needs."""
     got = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("node", "need", "tok", "df")] for b in batches if b.num_rows]
@@ -182,33 +159,34 @@ def candidate_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den:
     return connected_components(spanning_edges(keys, width))
 
 
+def labelled(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, row, label) of each row of docs; rows of one component have one label, rows without a
+    shingle none."""
+    width = shuffle_width(docs.sparkSession)
+    own = stored(classes(docs, k), "classes")
+    found = candidate_components(docs, k, num, den)
+    cand = stored(chunked(found, block), "candidates")
+    forget(found)
+    facts = cand.agg(F.count("*").alias("n"), F.coalesce(F.max("chunks"), F.lit(0)).alias("c")).first()
+    one = own.where("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "row")).alias("one"))
+    one = one.join(cand, "node").select(F.col("one.doc_id").alias("one_id"), F.col("one.row").alias("one_row"), "node", "comp", "chunk", "chunks")
+    if facts["n"] <= BROADCAST_IDS:
+        one = F.broadcast(one)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("row"), F.col("text").alias("content"))
+    texts = texts.join(one, F.col("doc_id").eqNullSafe(F.col("one_id")) & (F.col("row") == F.col("one_row"))).select("node", "comp", "chunk", "chunks", "content")
+    labels = stored(verified_components(texts, lambda column: _sets(column, k), num, den, width, facts["c"] > 1), "links")
+    forget(cand)
+    return own.join(labels, "node", "left").select("doc_id", "n_shingles", "row", F.coalesce("label", "node").alias("label"))
+
+
 def jaccard_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs (doc_id, text; more columns are ignored).
 
     Null and empty texts, and texts of white space, have no shingles and are their own component. A repeated row is a
     copy and gets the same component; a null doc_id is no id and never becomes a component's id unless all are null.
-    Texts of any length are used whole. No limit is put on the size of a group.
+    Texts of any length are used whole. No limit is put on the size of a group. An empty table gives an empty one.
     """
-    spark, width = docs.sparkSession, shuffle_width(docs.sparkSession)
-    own = stored(classes(docs, k), "classes")
-    cand = stored(chunked(candidate_components(docs, k, num, den), block), "candidates")
-    facts = cand.agg(F.count("*").alias("n"), F.coalesce(F.max("chunks"), F.lit(0)).alias("c")).first()
-    reps = own.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    reps = reps.join(cand, "node").select("rep", "node", "comp", "chunk", "chunks")
-    if facts["n"] <= BROADCAST_IDS:
-        reps = F.broadcast(reps)
-
-    def tokens(batches):
-        for b in slices(batches, "text"):
-            sets = _sets(b, "text", k)
-            own = pa.array([digest(s) == node for s, node in zip(sets, b.column("node").to_pylist())], pa.bool_())  # an id may have several texts
-            rows = [*(b.column(c) for c in ("node", "comp", "chunk", "chunks")), pa.array([s.tobytes() for s in sets], pa.binary())]
-            yield pa.record_batch(rows, ["node", "comp", "chunk", "chunks", "tokens"]).filter(own)
-
-    texts = docs.select("doc_id", "text").join(reps, F.col("doc_id") == F.col("rep")).select("node", "comp", "chunk", "chunks", "text")
-    sets = texts.mapInArrow(tokens, "node long, comp long, chunk long, chunks long, tokens binary")
-    labels = stored(verified_components(sets, num, den, width, facts["c"] > 1), "links")
-    grouped = own.join(labels, "node", "left").select("doc_id", "n_shingles", "node", F.coalesce("label", "node").alias("label"))
+    grouped = labelled(docs, k, num, den, block)
     least = grouped.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least"))
     out = grouped.join(least, "label", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("label").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
@@ -219,10 +197,17 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep_one_per_component(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the smallest of its component; of rows with one doc_id one stays.
+    """One row of docs for each component: that of the smallest doc_id (null ids first), then of the smallest text hash.
 
-    Rows without an id cannot be told apart by it and stay.
+    Of rows with one doc_id and text one stays; rows without a shingle are no copies of anything and all others of them
+    stay. Only repeated rows are shuffled with their texts.
     """
-    parts = jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    known = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).join(parts, "doc_id", "left_semi").select(*docs.columns)
-    return known.unionByName(docs.where("doc_id is null"))
+    rows = stored(labelled(docs), "labelled")
+    one = rows.groupBy("label").agg(F.min(F.struct("doc_id", "row")).alias("one")).where("label is not null").select("one.*")
+    place = one.unionByName(rows.where("label is null").select("doc_id", "row"))
+    times = rows.groupBy("doc_id", "row").agg(F.count("*").alias("_quern_times"))
+    keep = stored(place.distinct().alias("p").join(times.alias("t"), F.expr("p.doc_id <=> t.doc_id and p.row <=> t.row")).select(F.col("p.doc_id").alias("_quern_id"), F.col("p.row").alias("_quern_row"), "_quern_times"), "kept")
+    forget(rows)
+    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("_quern_id")) & (F.xxhash64(docs["text"]) == F.col("_quern_row")))
+    single = kept.where("_quern_times = 1").select(*docs.columns)
+    return single.unionByName(kept.where("_quern_times > 1").dropDuplicates(["_quern_id", "_quern_row"]).select(*docs.columns))
