@@ -2,8 +2,9 @@
 
 Base rules look at one document. Then the lines of all documents are hashed in a normal form (lower case, digits as 0,
 white space as one space), the distinct documents that hold each line are counted per host (column `source`), and lines
-held by more than MAX_DOCUMENTS of a host are boilerplate. A document of which less than KEPT_SHARE of the words would be
-left without them is rejected. Documents of equal text count once: copies of a page don't make its lines boilerplate.
+held by more than HOST_SHARE of a host's documents, and by more than LEAST of them, are boilerplate. A document of which less
+than KEPT_SHARE of the words would be left without them is rejected. Documents of equal text are one document: copies of a
+page don't make its lines boilerplate.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, Words, documents, sequence_hashes, slices, stored, string_buffers
 from .lines import Lines
 
-MAX_DOCUMENTS = 100
+HOST_SHARE, LEAST = 0.05, 10
 KEPT_SHARE = 0.3
 
 _SYMBOL = np.zeros(256, np.int64)
@@ -82,25 +83,30 @@ def _lines(batches):
         yield pa.record_batch([*(b.column(c).take(take) for c in ("host", "row", "content")), pa.array(key[new].view(np.int64)), pa.array(total, pa.int64())], ["host", "row", "content", "line", "n_words"])
 
 
+def _row():
+    parts = ("doc_id", "source", "text")
+    return F.xxhash64(*parts, *(F.col(c).isNull() for c in parts))  # a hash alone passes over nulls
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumns({"row": F.xxhash64("doc_id", "source", "text"), "content": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)), "host": F.coalesce("source", F.lit(""))})
+    return docs.withColumns({"row": _row(), "content": F.xxhash64(F.coalesce("text", F.lit("")), F.lit(7)), "host": F.coalesce("source", F.lit(""))})
 
 
-def frequent_lines(docs: DataFrame, max_documents: int = MAX_DOCUMENTS) -> tuple[DataFrame, DataFrame]:
-    """All (host, row, content, line, n_words), and the (host, line, n_docs) above the limit."""
-    lines = stored(_keyed(docs).select("host", "row", "content", "text").mapInArrow(_lines, "host string, row long, content long, line long, n_words long"), "lines")
+def frequent_lines(docs: DataFrame, max_documents: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """All (host, row, content, line, n_words), and the (host, line, n_docs) above the limit: max_documents, or if that is
+    None the greater of LEAST and HOST_SHARE of the host's documents."""
+    keyed = _keyed(docs)
+    lines = stored(keyed.select("host", "row", "content", "text").mapInArrow(_lines, "host string, row long, content long, line long, n_words long"), "lines")
     counts = lines.select("host", "line", "content").distinct().groupBy("host", "line").agg(F.count("*").alias("n_docs"))
-    return lines, stored(counts.where(F.col("n_docs") > max_documents), "frequent")
+    if max_documents is not None:
+        above = counts.where(F.col("n_docs") > max_documents)
+    else:
+        hosts = keyed.select("host", "content").distinct().groupBy("host").agg(F.greatest(F.lit(float(LEAST)), HOST_SHARE * F.count("*")).alias("limit"))
+        above = counts.where(F.col("n_docs") > LEAST).join(hosts, "host").where("n_docs > limit").drop("limit")
+    return lines, stored(above, "frequent")
 
 
-def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, kept_share: float = KEPT_SHARE) -> DataFrame:
-    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_frequent_words)
-    per row of docs (doc_id, text, source).
-
-    Null and empty texts have no words and fail. A null source is a host of its own (the empty name). Repeated rows get
-    equal verdicts. Other columns are ignored.
-    """
-    lines, frequent = frequent_lines(docs, max_documents)
+def _verdicts(docs: DataFrame, lines: DataFrame, frequent: DataFrame, kept_share: float) -> DataFrame:
     lost = lines.join(frequent, ["host", "line"]).dropDuplicates(["row", "line"]).groupBy("row").agg(F.sum("n_words").alias("lost"))
     base = _keyed(docs).select("doc_id", "row", "text").mapInArrow(_base, "doc_id long, row long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long")
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
@@ -109,6 +115,17 @@ def quality_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, kept_shar
     return out.select("doc_id", "row", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "n_frequent_words")
 
 
+def quality_rules(docs: DataFrame, max_documents: int | None = None, kept_share: float = KEPT_SHARE) -> DataFrame:
+    """(doc_id, row, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_frequent_words)
+    per row of docs (doc_id, text, source).
+
+    Null and empty texts have no words and fail. A null source is a host of its own (the empty name). Repeated rows get
+    equal verdicts. A line held by just as many documents as the limit stays. Texts of any length are read whole. An empty
+    table gives an empty one. Other columns are ignored.
+    """
+    return _verdicts(docs, *frequent_lines(docs, max_documents), kept_share)
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(documents(spark, sf_dir)).drop("row")
 
@@ -134,13 +151,13 @@ def _without(batches, names: list[str]):
         yield pa.record_batch([text if n == "text" else b.column(n) for n in names], names)
 
 
-def apply_rules(docs: DataFrame, max_documents: int = MAX_DOCUMENTS, kept_share: float = KEPT_SHARE) -> DataFrame:
+def apply_rules(docs: DataFrame, max_documents: int | None = None, kept_share: float = KEPT_SHARE) -> DataFrame:
     """docs without the documents that the rules reject and, in the others, without the lines above the limit."""
-    verdict = stored(quality_rules(docs, max_documents, kept_share).where("kept").select("row", "n_frequent_words").distinct(), "verdicts")
     lines, frequent = frequent_lines(docs, max_documents)
+    verdict = stored(_verdicts(docs, lines, frequent, kept_share).where("kept").select("row", "n_frequent_words").distinct(), "verdicts")
     hit = verdict.where("n_frequent_words > 0").select("row")
     drop = lines.join(frequent.select("host", "line"), ["host", "line"]).join(hit, "row").groupBy("row").agg(F.collect_set("line").alias("_quern_drop"))
     plan = verdict.select("row").join(drop, "row", "left").withColumnRenamed("row", "_quern_row")
-    rows = docs.withColumn("_quern_row", F.xxhash64("doc_id", "source", "text")).join(plan, "_quern_row").select(*docs.columns, "_quern_drop")
+    rows = docs.withColumn("_quern_row", _row()).join(plan, "_quern_row").select(*docs.columns, "_quern_drop")
     names = docs.columns
     return rows.mapInArrow(lambda it: _without(it, names), docs.schema)
