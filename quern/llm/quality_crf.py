@@ -67,12 +67,26 @@ def line_features(data: np.ndarray, off: np.ndarray) -> tuple[Lines, np.ndarray]
 
 def _marginals(score: np.ndarray, move: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """P(good) of each line, given each line's log-odds, the 2 x 2 transition scores, and where texts begin (n + 1)."""
-    out = np.empty(len(score))
+    ahead, back = _messages(score, move, cut)
+    return 1 / (1 + np.exp(-np.clip(ahead + back, -50, 50)))
+
+
+def _agreement(score: np.ndarray, move: np.ndarray, messages: tuple[np.ndarray, np.ndarray], at: np.ndarray) -> np.ndarray:
+    """P(line i and line i + 1 have one label) for each i of `at`: the marginals of the chain's edges."""
+    a, b = messages[0][at], score[at + 1] + messages[1][at + 1]
+    same = np.logaddexp(move[0, 0], a + b + move[1, 1])
+    other = np.logaddexp(b + move[0, 1], a + move[1, 0])
+    return 1 / (1 + np.exp(np.clip(other - same, -50, 50)))
+
+
+def _messages(score: np.ndarray, move: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds of good of each line from it and the lines before it, and from the lines behind it."""
+    ahead, behind = np.zeros(len(score)), np.zeros(len(score))
     length = np.diff(cut)
     order = np.argsort(-length, kind="stable")
     order = order[: np.count_nonzero(length)]
     if not len(order):
-        return out
+        return ahead, behind
     start, size = cut[:-1][order], length[order]
     longest = int(size[0])
     live = [int(np.searchsorted(-size, -t, "left")) for t in range(longest)]  # texts with more than t lines
@@ -95,8 +109,8 @@ def _marginals(score: np.ndarray, move: np.ndarray, cut: np.ndarray) -> np.ndarr
             nxt = score[start[:j] + t + 1] + back[:j]
             m[:j] = np.logaddexp(move[1, 0], nxt + move[1, 1]) - np.logaddexp(move[0, 0], nxt + move[0, 1])
         back[:k] = m
-        out[start[:k] + t] = 1 / (1 + np.exp(-np.clip(forward[t] + m, -50, 50)))
-    return out
+        ahead[start[:k] + t], behind[start[:k] + t] = forward[t], m
+    return ahead, behind
 
 
 class Model:
@@ -105,7 +119,8 @@ class Model:
 
     def raw(self, x: np.ndarray, cut: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Length-weighted mean of the lines' marginals of each text; 0 for a text without lines."""
-        p = _marginals((x - self.mean) / self.scale @ self.weight, self.move, cut)
+        weight = self.weight / self.scale
+        p = _marginals(x @ weight - self.mean @ weight, self.move, cut)
         owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
         n = len(cut) - 1
         return np.bincount(owner, p * size, n) / np.maximum(np.bincount(owner, size, n), 1)
@@ -114,27 +129,40 @@ class Model:
         return 1 / (1 + np.exp(-(self.slope * raw + self.shift)))
 
 
+def loss(theta: np.ndarray, z: np.ndarray, cut: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, np.ndarray]:
+    """Weighted negative log-likelihood of the chains' labels and its gradient; theta is the features' weights and, last,
+    the score of two neighbours with one label. share is constant in a text."""
+    move = np.array([[theta[-1], 0.0], [0.0, theta[-1]]])
+    score = z @ theta[:-1]
+    messages = _messages(score, move, cut)
+    p = 1 / (1 + np.exp(-np.clip(messages[0] + messages[1], -50, 50)))
+    owner = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    chain = np.flatnonzero(owner[1:] == owner[:-1])
+    agree, same = _agreement(score, move, messages, chain), y[chain] == y[chain + 1]
+    grad = np.r_[z.T @ (share * (p - y)), (share[chain] * (agree - same)).sum()]
+    # the partition function by the chain rule: log p(y) = sum of log p(y_i | y_i-1), each from the messages behind
+    ends = np.r_[chain, -2][np.searchsorted(chain, np.arange(len(y)) - 1).clip(max=len(chain))] == np.arange(len(y)) - 1 if len(chain) else np.zeros(len(y), bool)
+    odds = score + messages[1]
+    prior = np.r_[0.0, np.where(y[:-1] == 1, theta[-1], -theta[-1])] if len(y) else odds
+    odds = odds + np.where(ends, prior, 0.0)
+    return float((share * np.logaddexp(0, np.where(y == 1, -odds, odds))).sum()), grad
+
+
 def train(x: np.ndarray, cut: np.ndarray, size: np.ndarray, label: np.ndarray, steps: int = STEPS) -> Model:
-    """Gradient of the chain's conditional likelihood: observed less expected features, by Adam."""
+    """Weights that lessen `loss` and a ridge on the weights, by Adam, then a logistic curve over the texts' raw quality.
+    Each text counts as one, and both labels alike."""
     mean, scale = x.mean(0), x.std(0)
     mean[scale < 1e-9], scale[scale < 1e-9] = 0, 1
     z = (x - mean) / scale
-    n, texts = len(z), len(label)
-    owner = np.repeat(np.arange(texts), np.diff(cut))
+    owner = np.repeat(np.arange(len(label)), np.diff(cut))
     y = label[owner].astype(float)
     rate = max(1e-3, label.mean()), max(1e-3, 1 - label.mean())
-    share = np.where(label == 1, 0.5 / rate[0], 0.5 / rate[1])[owner] / np.maximum(np.diff(cut), 1)[owner]  # each text counts as one
-    total = share.sum()
+    share = np.where(label == 1, 0.5 / rate[0], 0.5 / rate[1])[owner] / np.maximum(np.diff(cut), 1)[owner]
+    share = share / share.sum()
     theta, m, v = np.zeros(z.shape[1] + 1), np.zeros(z.shape[1] + 1), np.zeros(z.shape[1] + 1)
-    chain = np.flatnonzero(owner[1:] == owner[:-1])
+    ridge = np.r_[np.full(z.shape[1], DECAY), 0.3]
     for step in range(1, steps + 1):
-        move = np.array([[theta[-1], 0.0], [0.0, theta[-1]]])
-        p = _marginals(z @ theta[:-1], move, cut)
-        grad = np.empty_like(theta)
-        grad[:-1] = z.T @ (share * (p - y)) / total + DECAY * theta[:-1]
-        # neighbours of a training text have one label; the expected agreement from the marginals of both ends
-        agree = p[chain] * p[chain + 1] + (1 - p[chain]) * (1 - p[chain + 1])
-        grad[-1] = (share[chain] * (agree - 1)).sum() / total + 0.3 * theta[-1]
+        grad = loss(theta, z, cut, y, share)[1] + ridge * theta
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta - RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     model = Model(mean, scale, theta[:-1], np.array([[theta[-1], 0.0], [0.0, theta[-1]]]), 1.0, 0.0)
@@ -184,7 +212,9 @@ def quality(docs: DataFrame, labelled: DataFrame, sample: int = SAMPLE) -> DataF
     """docs' doc_id and held_out, and (score, predicted).
 
     Null and empty texts have no lines and get the score of a text of bad lines only. If the labelled rows (text,
-    quality) hold one label or none, every score is 0.5. Repeated rows get equal scores.
+    quality) hold one label or none, every score is 0.5. Repeated rows get equal scores; of labelled rows with one text
+    either label may be drawn first, smaller ones before. An empty table gives an empty one; other columns of docs are
+    ignored.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(labelled, sample))
 
@@ -202,4 +232,4 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where((crc_remainder("doc_id", 4) != 2) & F.col("quality").isNotNull())
     # the sample is drawn among the labels, before texts move
     few = labels.select("doc_id", "quality").withColumn("order", F.xxhash64("doc_id")).orderBy("order").limit(SAMPLE).select("doc_id", "quality")
-    return quality(docs, docs.join(F.broadcast(few), "doc_id").select("text", "quality"))
+    return quality(docs, docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("text", "quality"))
