@@ -5,10 +5,10 @@ may be shorter. All pieces are then packed into as few sequences as the search f
 
 Pieces of one length are alike, so the search sees only how many pieces there are of each length (at most 4096 counts,
 whatever the input) and works on the driver by bin completion: take the largest open length, enumerate the fillings of
-the rest of its bin that no other filling dominates, and branch on them, least waste first. A branch ends where the
-waste so far leaves no hope against the incumbent; the first incumbent is best-fit decreasing's. The pattern found is
-applied to as many bins at once as the counts allow. The search stops at the lower bound ceil(tokens / 4096) or at its
-node limit, and then keeps the best packing found.
+the rest of its bin that no other filling dominates, and branch on them, least waste first; a filling is applied as
+often as the counts allow, and in a second branch once. A branch ends where its waste leaves no hope against the
+incumbent; the first incumbent is best-fit decreasing's. The search stops at the lower bound ceil(tokens / 4096), which
+proves the packing best, or at its limit of steps, and then keeps the best packing found, unproven.
 
 The pieces are numbered within their length in a distributed way (counts by task and length, then offsets) and looked up
 in the list of patterns, so neither the driver nor a task ever holds the pieces of a length together.
@@ -159,152 +159,165 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, bins): each bin is opened by the largest length left and then takes the largest that fits."""
-    left, order, out = dict(counts), sorted(counts), []
-    while order:
-        room, pattern = capacity, []
-        taken: dict[int, int] = {}
-        at = len(order) - 1
-        while at >= 0 and room:
-            at = min(at, bisect.bisect_right(order, room) - 1)
-            while at >= 0 and left[order[at]] <= taken.get(order[at], 0):
-                at -= 1
-            if at < 0:
-                break
-            x = order[at]
-            taken[x] = taken.get(x, 0) + 1
-            pattern.append(x)
-            room -= x
-        out.append(_apply(left, order, pattern))
-    return out
-
+    """Patterns (lengths, bins) of best-fit decreasing: pieces by falling length, each into the fullest bin that has room.
 
-def _apply(left: dict[int, int], order: list[int], pattern: list[int]) -> tuple[tuple[int, ...], int]:
-    """Take the pattern as many times as all its lengths last."""
-    need: dict[int, int] = {}
+    Bins of one content are handled together: those of the least sufficient room r take r // x pieces of length x each,
+    as a bin that has just taken one is the fullest while another fits.
+    """
+    bins: dict[int, list[list]] = {}  # room -> [pattern, how many bins]
+    rooms: list[int] = []
+
+    def put(room: int, pattern: tuple[int, ...], n: int) -> None:
+        if n:
+            if room not in bins:
+                bisect.insort(rooms, room)
+            bins.setdefault(room, []).append([pattern, n])
+
+    for x in sorted(counts, reverse=True):
+        c = counts[x]
+        while c > 0:
+            at = bisect.bisect_left(rooms, x)
+            if at == len(rooms):
+                put(capacity, (), -(-c // (capacity // x)))
+                continue
+            room = rooms[at]
+            pattern, n = bins[room].pop()
+            if not bins[room]:
+                del bins[room], rooms[at]
+            k = room // x
+            full = min(n, c // k)
+            put(room - k * x, pattern + (x,) * k, full)
+            c, n = c - full * k, n - full
+            if n and 0 < c < k:  # the last pieces
+                put(room - c * x, pattern + (x,) * c, 1)
+                c, n = 0, n - 1
+            put(room, pattern, n)
+    return [(p, n) for r in rooms for p, n in bins[r] if p]
+
+
+def _apply(left: dict[int, int], order: list[int], pattern: tuple[int, ...], times: int) -> None:
+    """Take the pattern so many times."""
     for x in pattern:
-        need[x] = need.get(x, 0) + 1
-    times = min(left[x] // c for x, c in need.items())
-    for x, c in need.items():
-        left[x] -= c * times
+        left[x] -= times
         if not left[x]:
             order.pop(bisect.bisect_left(order, x))
-    return tuple(pattern), times
 
 
-def fillings(room: int, order: list[int], left: dict[int, int], limit: int = 6) -> list[list[int]]:
-    """Undominated ways to fill `room`, least waste first: no filling is kept of which another is a replacement by fewer
-    or larger pieces with no more waste. At most three pieces are enumerated beyond a largest first one; the last piece
-    is always the largest that fits, as any smaller one is dominated by it."""
-    found: dict[int, list[int]] = {}
+def _dominates(a: tuple[int, ...], b: tuple[int, ...]) -> bool:
+    """Whether b's pieces can be dealt out to a's so that those of each fit into it (a's and b's fall in length)."""
 
-    def put(f: list[int]) -> bool:
-        waste = room - sum(f)
-        if waste not in found or len(f) < len(found[waste]):
-            found[waste] = f
-        return waste == 0
+    def place(rest: tuple[int, ...], room: tuple[int, ...]) -> bool:
+        if not rest:
+            return True
+        tried = set()
+        for i, r in enumerate(room):
+            if r >= rest[0] and r not in tried:
+                tried.add(r)
+                if place(rest[1:], room[:i] + (r - rest[0],) + room[i + 1 :]):
+                    return True
+        return False
 
-    def fit(r: int, used: list[int]) -> int | None:
-        at = bisect.bisect_right(order, r) - 1
-        while at >= 0:
-            x = order[at]
-            if left[x] > used.count(x):
-                return x
-            at -= 1
-        return None
-
-    one = fit(room, [])
-    if one is None:
-        return [[]]
-    if put([one]):
-        return [[one]]
-    top = bisect.bisect_right(order, room) - 1
-    for i in range(top, max(-1, top - 400), -1):
-        x = order[i]
-        y = fit(room - x, [x])
-        if y is None:
-            put([x])
-        elif y <= x and put([x, y]):
-            break
-    if 0 not in found:
-        for i in range(top, max(-1, top - 30), -1):
-            x = order[i]
-            mid = bisect.bisect_right(order, room - x) - 1
-            done = False
-            for j in range(mid, max(-1, mid - 40), -1):
-                y = order[j]
-                if y > x or left[y] <= (x == y):
-                    continue
-                z = fit(room - x - y, [x, y])
-                if z is not None and z <= y and put([x, y, z]):
-                    done = True
-                    break
-            if done:
-                break
-    out = [found[w] for w in sorted(found)[:limit]]
-    # a filling that leaves room for a further piece is completed greedily
-    for f in out:
-        r = room - sum(f)
-        while (z := fit(r, f)) is not None:
-            f.append(z)
-            r -= z
-    return sorted(out, key=lambda f: room - sum(f))
+    return sum(a) >= sum(b) and place(b, a)
 
 
-def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODE_LIMIT) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths, bins) that pack counts (length -> pieces) into few bins."""
+def fillings(room: int, order: list[int], left: dict[int, int], slack: int, budget: list[int]) -> list[tuple[int, ...]]:
+    """The undominated ways to fill `room` with at most `slack` of waste, least waste first.
+
+    Only fillings that no further open piece fits into are enumerated, and of those that another one dominates (its pieces
+    can be dealt out to the other's) none is kept: the other one can take its place in any packing. Each step of the
+    enumeration takes one off budget[0]; at 0 it stops, and what it has is not all.
+    """
+    found: list[tuple[int, ...]] = []
+
+    def extend(used: tuple[int, ...], r: int, top: int) -> None:
+        """Pieces of lengths up to order[top] go on."""
+        fits = bisect.bisect_right(order, r) - 1
+        any_fits = False
+        for at in range(min(top, fits), -1, -1):
+            x = order[at]
+            if left[x] <= used.count(x):
+                continue
+            any_fits = True
+            if budget[0] <= 0:
+                return
+            budget[0] -= 1
+            # all pieces from here on are at most x: what they cannot fill is waste
+            extend((*used, x), r - x, at)
+            if found and sum(found[-1]) == room and len(found[-1]) <= len(used) + 1:
+                return  # one piece that fills what is left dominates all others with this beginning
+        if not any_fits and r <= slack and all(left[x] <= used.count(x) for x in order[: fits + 1]):
+            found.append(used)
+
+    extend((), room, len(order) - 1)
+    kept: list[tuple[int, ...]] = []
+    for f in sorted(set(found), key=lambda f: (-sum(f), len(f))):
+        if not any(_dominates(a, f) for a in kept):
+            kept.append(f)
+    return kept
+
+
+def search(counts: dict[int, int], capacity: int, nodes: int = NODE_LIMIT) -> tuple[list[tuple[tuple[int, ...], int]], bool]:
+    """Patterns (lengths, bins) that pack counts (length -> pieces), and whether no packing has fewer bins.
+
+    It is proven by the bound ceil(tokens / capacity) or by an ended search. A search that reaches `nodes` steps ends
+    unproven with the best packing found, best-fit decreasing's at worst.
+    """
     counts = {x: c for x, c in counts.items() if c > 0}
-    if not counts:
-        return []
     total = sum(x * c for x, c in counts.items())
     bound = -(-total // capacity)
     best = best_fit(counts, capacity)
     best_bins = sum(t for _, t in best)
-    left, order = dict(counts), sorted(counts)
+    left, order, budget = dict(counts), sorted(counts), [nodes]
     path: list[tuple[tuple[int, ...], int]] = []
-    branches: list[tuple[int, list[list[int]]]] = []  # waste before, fillings still to try
-    waste, bins, visited = 0, 0, 0
 
-    def undo() -> None:
-        nonlocal waste, bins
-        pattern, times = path.pop()
-        for x in pattern:
-            if not left[x]:
-                bisect.insort(order, x)
-            left[x] += times
-        waste -= (capacity - sum(pattern)) * times
-        bins -= times
-
-    descend = True
-    while best_bins > bound and visited < nodes:
-        if descend:
-            if not order:
-                if bins < best_bins:
-                    best, best_bins = list(path), bins
-                descend = False
-                continue
-            big = order[-1]
-            left[big] -= 1
-            ways = fillings(capacity - big, order, left)
-            left[big] += 1
-            branches.append((waste, [[big, *f] for f in reversed(ways)]))
-        else:
-            while branches and not branches[-1][1]:
-                branches.pop()
-                if path and len(path) > len(branches):
-                    undo()
-            if not branches:
-                break
-            if len(path) >= len(branches):
-                undo()
-        pattern = branches[-1][1].pop()
-        visited += 1
-        path.append(_apply(left, order, pattern))
-        waste += (capacity - sum(pattern)) * path[-1][1]
-        bins += path[-1][1]
-        # waste bound: with this waste the total needs at least so many bins
-        descend = -(-(total + waste) // capacity) < best_bins
-    return best
+    def branches(waste: int):
+        """Ways to fill the bin of the largest open piece: each as often as it goes, and once."""
+        big = order[-1]
+        slack = (best_bins - 1) * capacity - total - waste
+        left[big] -= 1
+        if not left[big]:
+            order.pop()
+        ways = fillings(capacity - big, order, left, slack, budget)
+        if not left[big]:
+            order.append(big)
+        left[big] += 1
+        for f in ways:
+            pattern = (big, *f)
+            most = min(left[x] // pattern.count(x) for x in set(pattern))
+            for times in dict.fromkeys((most, 1)):
+                yield pattern, times
+
+    stack, waste, bins = [branches(0)] if order and best_bins > bound else [], 0, 0
+    while stack and best_bins > bound and budget[0] > 0:
+        pattern, times = next(stack[-1], (None, 0))
+        if pattern is None:
+            stack.pop()
+            if path:
+                pattern, times = path.pop()
+                for x in pattern:
+                    if not left[x]:
+                        bisect.insort(order, x)
+                    left[x] += times
+                waste, bins = waste - (capacity - sum(pattern)) * times, bins - times
+            continue
+        budget[0] -= 1
+        lost = waste + (capacity - sum(pattern)) * times
+        if -(-(total + lost) // capacity) >= best_bins:
+            continue  # with this waste no packing is better than the incumbent
+        _apply(left, order, pattern, times)
+        path.append((pattern, times))
+        waste, bins = lost, bins + times
+        if order:
+            stack.append(branches(waste))
+            continue
+        best, best_bins = list(path), bins
+        stack.append(iter(()))
+    return best, best_bins <= bound or not stack
+
+
+def bin_completion(counts: dict[int, int], capacity: int, nodes: int = NODE_LIMIT) -> list[tuple[tuple[int, ...], int]]:
+    """The patterns of `search`."""
+    return search(counts, capacity, nodes)[0]
 
 
 # --- placing -------------------------------------------------------------------------------------
