@@ -59,18 +59,6 @@ def type_score(path: Column, task: str, cyclomatic: Column | None = None) -> Col
     return F.lit(0.5)
 
 
-def recency_steps(days: Column) -> Column:
-    return F.when(days.isNull(), 0.5).when(days <= 7, 1.0).when(days <= 30, 0.7).when(days <= 90, 0.4).otherwise(0.1)
-
-
-def recency_decay(days: Column) -> Column:
-    return F.exp(-days / 30)
-
-
-def frequency_score(count: Column) -> Column:
-    return F.when(count <= 0, 0.0).when(count <= 5, 0.3).when(count <= 20, 0.6).when(count <= 50, 0.8).otherwise(F.least(F.lit(1.0), 0.8 + F.log(count / 50) / 10))
-
-
 def weighted(factors: dict[str, float]) -> Column:
     total = sum(factors.values())
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), _sum([F.col(c) * w for c, w in factors.items()]) / total))

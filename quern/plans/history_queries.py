@@ -50,7 +50,7 @@ def g10_hot_periods(spark, d):
 
 
 def g11_quiet_periods(spark, d):
-    return H.quiet_periods(_daily(spark, d).where("commits >= 6"))
+    return H.quiet_periods(_daily(spark, d))
 
 
 def g12_events(spark, d):
@@ -183,7 +183,7 @@ ORACLES = {
     "g8_commit_types": _S + "SELECT kind, count(*) AS commits FROM typed GROUP BY 1",
     "g9_most_changed_files": _S + "SELECT file, count(*) AS changes, CAST(sum(insertions + deletions) AS BIGINT) AS lines FROM changes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20",
     "g10_hot_periods": _S + ", n AS (SELECT *, row_number() OVER (ORDER BY day) AS n FROM daily), h AS (SELECT *, n - row_number() OVER (ORDER BY day) AS run FROM n WHERE commits >= (SELECT avg(commits) FROM daily) * 1.6) SELECT min(day) AS start, max(day) AS \"end\", count(*) AS days, CAST(sum(commits) AS BIGINT) AS commits FROM h GROUP BY run",
-    "g11_quiet_periods": _S + ", n AS (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM daily WHERE commits >= 6) SELECT CAST(day + 1 AS DATE) AS start, CAST(nx - 1 AS DATE) AS \"end\", CAST(nx - day - 1 AS BIGINT) AS days FROM n WHERE nx - day - 1 >= 3",
+    "g11_quiet_periods": _S + ", n AS (SELECT day, lead(day) OVER (ORDER BY day) AS nx FROM daily) SELECT CAST(day + 1 AS DATE) AS start, CAST(nx - 1 AS DATE) AS \"end\", CAST(nx - day - 1 AS BIGINT) AS days FROM n WHERE nx - day - 1 >= 3",
     "g12_events": _S + "SELECT commit_id, 'large' AS event FROM sized WHERE added + removed > 300 UNION ALL SELECT * FROM (SELECT commit_id, 'initial' AS event FROM commits ORDER BY ts, commit_id LIMIT 1)",
     "g16_hour_weekday": _S + "SELECT CAST(hour(ts) AS BIGINT) AS hour, CAST(isodow(ts) - 1 AS BIGINT) AS weekday, count(*) AS commits FROM commits GROUP BY 1, 2",
     "g18_commit_sizes": _S + "SELECT round(avg(added + removed), 6) AS mean, CAST(quantile_cont(added + removed, 0.5) AS DOUBLE) AS median, round(stddev_samp(added + removed), 6) AS std, max(added + removed) AS largest, min(added + removed) FILTER (added + removed > 0) AS smallest FROM sized",
