@@ -7,6 +7,7 @@ from .html_extract import op1_html_extraction
 from .langid import op9_language_id
 from .line_dedup import op6_line_dedup
 from .ngram_join import op10_ngram_jaccard_join
+from .oracles import OP5_SQL, OP7_SQL, OP10_SQL
 from .packing import op2_best_fit_packing
 from .pii import op3_pii
 from .quality_crf import op4_quality_classifier
@@ -26,5 +27,5 @@ QUERIES = {
     "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
-#: The others have no exact SQL form that runs over whole tables; tests/llm holds them against brute force.
-ORACLES = {"op8_warc": OP8_SQL}
+#: The others have no exact SQL form; tests/llm holds them against brute force.
+ORACLES = {"op5_decontaminate": OP5_SQL, "op7_quality_rules": OP7_SQL, "op8_warc": OP8_SQL, "op10_ngram_jaccard_join": OP10_SQL}

@@ -7,7 +7,8 @@ import numpy as np
 import pytest
 
 from quern.llm import line_dedup, packing, quality_crf, quality_rules
-from tests.oracle import DATA
+from quern.llm.corpus_queries import ORACLES, QUERIES
+from tests.oracle import DATA, differences, duck
 
 
 def fewest(pieces, capacity):
@@ -118,3 +119,9 @@ def test_rows_with_nulls_are_told_apart(spark):
     rows = [(1, None, "x"), (1, "x", None), (None, "x", "x")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     assert quality_rules.quality_rules(df).select("row").distinct().count() == 3
+
+
+@pytest.mark.parametrize("name", ["op5_decontaminate", "op7_quality_rules", "op10_ngram_jaccard_join"])
+def test_oracle(spark, name):
+    sf = f"{DATA}/sf0.001"
+    assert differences(QUERIES[name](spark, sf), ORACLES[name], duck(sf)) == ""
