@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm import line_dedup, packing, quality_crf, quality_rules
+from quern.llm import line_dedup, packing, pii, quality_crf, quality_rules
 from quern.llm.corpus_queries import ORACLES, QUERIES
 from tests.oracle import DATA, differences, duck
 
@@ -125,3 +125,18 @@ def test_rows_with_nulls_are_told_apart(spark):
 def test_oracle(spark, name):
     sf = f"{DATA}/sf0.001"
     assert differences(QUERIES[name](spark, sf), ORACLES[name], duck(sf)) == ""
+
+
+def test_pii_adds_loose_forms(spark):
+    """The trees tell written loose forms from look-alikes, and the added spans are disjoint and off the base spans."""
+    texts = {
+        1: "Please call (415) 555-2671 or write to jane.doe (at) example.org today.",
+        2: "Pay with card 4000.1234.5678.9010 now; see 1.2.3.4 for details.",
+        3: "The part 415-555-2671 is missing, order 1234-5678-1234 came, version 1,2,3,4000 is out.",
+        4: "a@b.org " * 3000 + "10.0.0.1 " * 3000,
+    }
+    got = {r["doc_id"]: r["spans"].split(",") for r in pii.personal_data(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    said = lambda d: {(x.split(":")[0], texts[d][int(x.split(":")[1]) : int(x.split(":")[2])]) for x in got[d] if x}
+    assert said(1) == {("phone", "(415) 555-2671"), ("email", "jane.doe (at) example.org")}
+    assert said(2) == {("card", "4000.1234.5678.9010"), ("ip", "1.2.3.4")}
+    assert said(3) == set() and len(got[4]) == 6000
