@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.text import occurrences
+from .storage import positions, written
 
 #: Weights of the fast profile, and directories that count as important.
 FAST = {"keyword_match": 0.6, "path_relevance": 0.3, "type_relevance": 0.1}
@@ -66,11 +68,11 @@ def weighted(factors: dict[str, float]) -> Column:
 
 def rank_files(scored: DataFrame, threshold: float = 0.1, fallback: int = 3) -> DataFrame:
     """(doc_id, path, score, rank) at or above the threshold, or the first three if none is."""
-    out = scored.where(F.col("score") >= threshold)
+    scored = written(scored, "scored")
     best = scored.orderBy(F.col("score").desc(), "doc_id").limit(fallback)
-    none = scored.agg((F.coalesce(F.max("score"), F.lit(0.0)) < threshold).alias("none"))
-    rows = out.unionByName(best.join(F.broadcast(none)).where("none").drop("none"))
-    return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.col("score").desc(), "doc_id")).cast("long"))
+    some = scored.where(F.col("score") >= threshold)
+    rows = some if some.limit(1).count() else best
+    return positions(rows, [F.col("score").desc(), F.col("doc_id")], "rank")
 
 
 def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -81,26 +83,37 @@ def compare_rankings(a: DataFrame, b: DataFrame) -> DataFrame:
     return both.withColumn("delta", F.col("rank_a") - F.col("rank_b"))
 
 
-def greedy_selection(ranked: DataFrame, budget: int, tokens: str = "tokens", group: str = "g") -> DataFrame:
+def greedy_selection(ranked: DataFrame, budget: int, tokens: str = "tokens", block: int = 10_000) -> DataFrame:
     """(doc_id, mode): whole files while they fit, else a quarter of one worth more than 100 tokens, until 95 % is used.
 
-    A skipped file uses nothing, so this is a fold over the ranked list, not a running sum; the list is one row's array
-    for each group, as long as the ranking that was cut before.
+    A skipped file uses nothing, so this is a fold over the ranked list, not a running sum. It takes blocks of ranks, one
+    at a time, each with the tokens used before; most budgets end in the first one.
     """
-    items = F.array_sort(F.collect_list(F.struct("rank", "doc_id", F.col(tokens).cast("long").alias("t"))))
+    full_at = budget * 0.95
+    rows = F.struct("rank", "doc_id", F.col(tokens).cast("long").alias("t"))
     empty = F.array().cast("array<struct<doc_id:bigint,mode:string,tokens:bigint>>")
-    zero = F.struct(F.lit(0).cast("long").alias("used"), empty.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         full = acc["used"] + x["t"] <= budget
         summary = F.least(F.floor(x["t"] / 4), F.lit(budget) - acc["used"])
-        take = F.when(acc["used"] >= budget * 0.95, F.lit(0).cast("long")).when(full, x["t"]).when(summary > 100, summary).otherwise(F.lit(0).cast("long"))
+        take = F.when(acc["used"] >= full_at, F.lit(0).cast("long")).when(full, x["t"]).when(summary > 100, summary).otherwise(F.lit(0).cast("long"))
         row = F.struct(x["doc_id"].alias("doc_id"), F.when(full, "full").otherwise("summary").alias("mode"), take.alias("tokens"))
-        taken = (acc["used"] < budget * 0.95) & (full | (summary > 100))
+        taken = (acc["used"] < full_at) & (full | (summary > 100))
         return F.struct((acc["used"] + take).alias("used"), F.when(taken, F.concat(acc["out"], F.array(row))).otherwise(acc["out"]).alias("out"))
 
-    rows = ranked.withColumn("g", F.lit(0)) if group == "g" else ranked
-    return rows.groupBy(group).agg(items.alias("items")).select(F.inline(F.aggregate("items", zero, step, lambda a: a["out"])))
+    ranked = written(ranked.select("rank", "doc_id", tokens), "ranked")
+    last = ranked.agg(F.max("rank")).first()[0] or 0
+    parts, used = [], 0
+    for first in range(1, last + 1, block):
+        zero = F.struct(F.lit(used).cast("long").alias("used"), empty.alias("out"))
+        items = ranked.where(F.col("rank").between(first, first + block - 1)).agg(F.array_sort(F.collect_list(rows)).alias("items"))
+        parts.append(written(items.select(F.aggregate("items", zero, step).alias("fold")).select("fold.*"), "selected"))
+        used = parts[-1].first()["used"]
+        if used >= full_at:
+            break
+    if not parts:
+        return ranked.select("doc_id", F.lit("full").alias("mode"), F.col(tokens).cast("long").alias("tokens")).limit(0)
+    return functools.reduce(DataFrame.unionByName, parts).select(F.inline("out"))
 
 
 def recency_steps(days: Column) -> Column:

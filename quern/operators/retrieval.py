@@ -1,7 +1,7 @@
-"""Corpus statistics, BM25 and TF-IDF over postings; dense-vector similarity.
+"""Corpus statistics, BM25 and TF-IDF over an index of one row a document; dense-vector similarity.
 
-Postings are one row per (document, term): every score is a join of postings with the few query terms and a sum, so the
-query side is broadcast (its size is the prompt's) and the corpus side is scanned once.
+A corpus is tokenised once, into a written index of (doc_id, dl, terms); counts, document frequencies and scores read that.
+For a query the index holds only the query's terms, so nothing of the corpus' size is shuffled.
 """
 
 from __future__ import annotations
@@ -11,22 +11,57 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import code_tokens
+from .storage import positions, written
 
+#: Document frequencies of at most so many terms are broadcast; more are joined by shuffle, where AQE splits hot terms.
+BROADCAST_TERMS = 500_000
+#: Documents a block, within which a term's documents are counted in order.
+BLOCK = 10_000
 
-def postings(files: DataFrame, dedup: bool = True) -> DataFrame:
-    """(doc_id, term, tf, dl); documents without tokens are not part of the corpus."""
-    rows = files.select("doc_id", code_tokens(F.col("content"), dedup=dedup).alias("tokens")).withColumn("dl", F.size("tokens"))
+
+def index(files: DataFrame, query: DataFrame | None = None, dedup: bool = True) -> DataFrame:
+    """(doc_id, dl, terms of (term, tf)): all terms, or those of a query; dl counts all of a document's tokens.
+
+    Documents without tokens are not part of the corpus. With dedup a term counts once a document.
+    """
+    rows = files.select("doc_id", code_tokens(F.col("content"), dedup=dedup).alias("tokens"))
+    rows = rows.withColumn("dl", F.size("tokens").cast("long"))
+    if query is not None:
+        wanted = query.agg(F.collect_set("term").alias("wanted"))  # one row, as long as the prompt
+        kept = F.array_intersect("tokens", "wanted") if dedup else F.filter("tokens", lambda t: F.array_contains("wanted", t))
+        rows = rows.join(F.broadcast(wanted)).select("doc_id", "dl", kept.alias("tokens"))
     if dedup:
-        return rows.select("doc_id", F.explode("tokens").alias("term"), F.lit(1).cast("long").alias("tf"), F.col("dl").cast("long").alias("dl"))
-    each = rows.select("doc_id", F.col("dl").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    return each.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("doc_id", "term", "tf", "dl")
+        terms = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf")))
+        return _nonempty(written(rows.select("doc_id", "dl", terms.alias("terms")), "index"))
+    each = rows.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"))
+    both = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
+    return _nonempty(written(each.groupBy("doc_id", "dl").agg(F.collect_list(both).alias("terms")), "index"))
+
+
+def _nonempty(idx: DataFrame) -> DataFrame:
+    # on the written table: before it, the filter would be pushed below the tokens and compute them twice
+    return idx.where("dl > 0")
+
+
+def postings(idx: DataFrame) -> DataFrame:
+    """(doc_id, dl, term, tf)"""
+    return idx.select("doc_id", "dl", F.inline("terms"))
+
+
+def sizes(idx: DataFrame) -> DataFrame:
+    """One row: documents n and their average length."""
+    return idx.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+
 
+def frequencies(idx: DataFrame) -> DataFrame:
+    """(term, df)"""
+    return idx.select(F.explode("terms.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
 
-def corpus_stats(posts: DataFrame) -> DataFrame:
+
+def corpus_stats(idx: DataFrame) -> DataFrame:
     """One row: documents, average length, distinct terms."""
-    docs = posts.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
-    terms = posts.select("term").distinct().agg(F.count("*").alias("n_terms"))
-    return docs.join(terms)  # one row each
+    terms = frequencies(idx).agg(F.count("*").alias("n_terms"))
+    return sizes(idx).withColumnRenamed("n", "n_docs").join(terms)  # one row each
 
 
 def query_terms(spark: SparkSession, prompt: str, distinct: bool = True) -> DataFrame:
@@ -34,40 +69,60 @@ def query_terms(spark: SparkSession, prompt: str, distinct: bool = True) -> Data
     return tokens.groupBy("term").agg(F.count("*").alias("qtf"))
 
 
-def bm25_terms(posts: DataFrame, query: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(doc_id, term, tf, idf, component): each query term's part of each document's score."""
-    stats = posts.groupBy("doc_id").agg(F.first("dl").alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
-    hits = posts.join(F.broadcast(query.select("term")), "term")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    rows = hits.join(F.broadcast(df), "term").join(F.broadcast(stats))  # as many rows as query terms; one row
-    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    tf = F.col("tf")
+def bm25_idf(n: Column, df: Column) -> Column:
+    return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+def bm25_terms(idx: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(doc_id, term, tf, idf, component): each term's part of each document's score; idx holds the query's terms."""
+    df = F.broadcast(frequencies(idx))  # as many rows as query terms
+    rows = postings(idx).join(df, "term").join(F.broadcast(sizes(idx)))  # one row
+    tf, idf = F.col("tf"), bm25_idf(F.col("n"), F.col("df"))
     part = idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return rows.select("doc_id", "term", "tf", idf.alias("idf"), part.alias("component"))
 
 
-def bm25(posts: DataFrame, query: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    return bm25_terms(posts, query, k1, b).groupBy("doc_id").agg(F.sum("component").alias("score")).where("score > 0")
+def bm25(idx: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    return bm25_terms(idx, k1, b).groupBy("doc_id").agg(F.sum("component").alias("score")).where("score > 0")
+
+
+def sublinear(tf: Column) -> Column:
+    return 1 + F.log(tf)
+
+
+def tfidf_idf(n: Column, df: Column) -> Column:
+    return F.log((1 + n) / (1 + df)) + 1e-12 * F.greatest(F.lit(1), n) + 1
+
+
+def tfidf_vectors(idx: DataFrame) -> DataFrame:
+    """(doc_id, norm, weights of (term, raw)): raw weights by corpus-wide document frequency, and their length."""
+    df = written(frequencies(idx), "frequencies")
+    df = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    raw = sublinear(F.col("tf")) * tfidf_idf(F.col("n"), F.col("df"))
+    rows = postings(idx).join(df, "term").join(F.broadcast(sizes(idx))).select("doc_id", F.struct("term", raw.alias("raw")).alias("w"), (raw * raw).alias("square"))
+    return rows.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"), F.collect_list("w").alias("weights"))
 
 
-def tfidf_weights(posts: DataFrame) -> DataFrame:
+def tfidf_weights(idx: DataFrame) -> DataFrame:
     """(doc_id, term, weight): L2-normalised weights by corpus-wide document frequency."""
-    n = posts.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = (1 + F.log(F.col("tf"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1e-12 * F.greatest(F.lit(1), F.col("n")) + 1)
-    rows = posts.join(df, "term").join(F.broadcast(n)).select("doc_id", "term", raw.alias("raw"))
-    norm = rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return rows.join(norm, "doc_id").select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
-
-
-def tfidf_insertion_weights(posts: DataFrame) -> DataFrame:
-    """(doc_id, term, raw): weights by the corpus as it was when each document, in order of doc_id, was added."""
-    # positions on the document table, so that no window runs over all postings
-    order = posts.select("doc_id").distinct().withColumn("n", F.row_number().over(Window.orderBy("doc_id")))
-    df = F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))
-    rows = posts.withColumn("df", df).join(order, "doc_id")
-    raw = (1 + F.log(F.col("tf"))) * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1e-12 * F.greatest(F.lit(1), F.col("n")) + 1)
-    return rows.select("doc_id", "term", raw.alias("raw"))
+    rows = tfidf_vectors(idx).select("doc_id", "norm", F.inline("weights"))
+    return rows.select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+
+
+def tfidf_insertion_weights(idx: DataFrame) -> DataFrame:
+    """(doc_id, term, raw): weights by the corpus as it was when each document, in order of doc_id, was added.
+
+    A term's documents are counted within blocks of documents; a block starts at the sum of those before it, so the
+    postings of a frequent term are no single task's.
+    """
+    placed = positions(idx, [F.col("doc_id")], "n")
+    posts = placed.select("doc_id", "n", F.inline("terms")).withColumn("block", F.floor(F.col("n") / BLOCK))
+    within = F.row_number().over(Window.partitionBy("term", "block").orderBy("n"))
+    counts = posts.groupBy("term", "block").agg(F.count("*").alias("c"))
+    earlier = F.sum("c").over(Window.partitionBy("term").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    before = counts.select("term", "block", F.coalesce(earlier, F.lit(0)).alias("before"))
+    rows = posts.withColumn("within", within).join(before, ["term", "block"]).withColumn("df", F.col("before") + F.col("within"))
+    return rows.select("doc_id", "term", (sublinear(F.col("tf")) * tfidf_idf(F.col("n"), F.col("df"))).alias("raw"))
 
 
 def top_terms(weights: DataFrame, n: int, value: str = "weight") -> DataFrame:

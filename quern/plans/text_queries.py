@@ -39,8 +39,12 @@ _RAW = "(ln((1 + n) / (1 + df)) + 1e-12 * greatest(1, n) + 1)"
 _TFIDF = _TOKENS + f", raw AS (SELECT doc_id, term, {_RAW} AS raw FROM posts JOIN df USING (term), st), w AS (SELECT doc_id, term, raw / sqrt(sum(raw * raw) OVER (PARTITION BY doc_id)) AS weight FROM raw)"
 
 
-def _posts(spark, d):
-    return retrieval.postings(files(spark, d))
+def _index(spark, d):
+    return retrieval.index(files(spark, d))
+
+
+def _query_index(spark, d):
+    return retrieval.index(files(spark, d), retrieval.query_terms(spark, PROMPT))
 
 
 def t1_code_tokens(spark, d):
@@ -81,56 +85,61 @@ def t18_head_tail(spark, d):
 
 
 def r2_idf(spark, d):
-    p = _posts(spark, d)
-    n = p.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    df = p.groupBy("term").agg(F.count("*").alias("df")).join(F.broadcast(n))
-    return df.select("term", "df", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+    idx = _index(spark, d)
+    df = retrieval.frequencies(idx).join(F.broadcast(retrieval.sizes(idx)))  # one row
+    return df.select("term", "df", F.round(retrieval.bm25_idf(F.col("n"), F.col("df")), 6).alias("idf"))
 
 
 def r3_bm25_top_k(spark, d):
-    s = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, PROMPT))
+    s = retrieval.bm25(_query_index(spark, d))
     return s.select("doc_id", F.round("score", 6).alias("score")).orderBy(F.col("score").desc(), "doc_id").limit(20)
 
 
 def r4_bm25_normalised(spark, d):
-    s = retrieval.bm25(_posts(spark, d), retrieval.query_terms(spark, PROMPT))
+    s = retrieval.bm25(_query_index(spark, d))
     return s.select("doc_id", F.round(F.col("score") / (F.col("score") + 10), 6).alias("normalised"), F.round(F.least(F.lit(1.0), F.col("score") / 10), 6).alias("factor"))
 
 
 def r5_bm25_explain(spark, d):
-    t = retrieval.bm25_terms(_posts(spark, d), retrieval.query_terms(spark, PROMPT))
+    t = retrieval.bm25_terms(_query_index(spark, d))
     return t.select("doc_id", "term", "tf", F.round("idf", 6).alias("idf"), F.round("component", 6).alias("component"))
 
 
 def r6_corpus_stats(spark, d):
-    return retrieval.corpus_stats(_posts(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+    return retrieval.corpus_stats(_index(spark, d)).select("n_docs", F.round("avgdl", 6).alias("avgdl"), "n_terms")
+
+
+def r8_term_frequency(spark, d):
+    """Both forms of term frequency, repeats counted: 1 + ln(c), and c by the document's length."""
+    p = retrieval.postings(retrieval.index(files(spark, d), dedup=False))
+    return p.select("doc_id", "term", "tf", F.round(retrieval.sublinear(F.col("tf")), 6).alias("sublinear"), F.round(F.col("tf") / F.col("dl"), 6).alias("relative"))
 
 
 def r9_tfidf_weights(spark, d):
-    w = retrieval.tfidf_weights(_posts(spark, d))
+    w = retrieval.tfidf_weights(_index(spark, d))
     return w.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 5).alias("total"), F.round(F.max("weight"), 6).alias("top"))
 
 
 def r9_tfidf_insertion(spark, d):
-    w = retrieval.tfidf_insertion_weights(_posts(spark, d))
+    w = retrieval.tfidf_insertion_weights(_index(spark, d))
     return w.groupBy("doc_id").agg(F.round(F.sum("raw"), 5).alias("total"), F.round(F.max("raw"), 6).alias("top"))
 
 
 def r10_tfidf_similarity(spark, d):
-    posts = _posts(spark, d)
-    w = retrieval.tfidf_weights(posts)
-    n = posts.select("doc_id").distinct().agg(F.count("*").alias("n"))
-    q = retrieval.query_terms(spark, PROMPT)
-    df = posts.join(F.broadcast(q), "term").groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1e-12 * F.greatest(F.lit(1), F.col("n")) + 1
-    q = df.join(F.broadcast(n)).select("term", idf.alias("q"))
-    norm = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    hit = w.join(F.broadcast(q), "term").groupBy("doc_id").agg(F.sum(F.col("weight") * F.col("q")).alias("s")).join(F.broadcast(norm))
-    return hit.select("doc_id", F.round(F.least(F.lit(1.0), F.col("s") / F.col("norm")), 6).alias("similarity"))
+    idx = _index(spark, d)
+    df = retrieval.frequencies(idx).join(F.broadcast(retrieval.query_terms(spark, PROMPT)), "term")
+    q = df.join(F.broadcast(retrieval.sizes(idx))).select("term", retrieval.tfidf_idf(F.col("n"), F.col("df")).alias("q"))
+    # one row, as long as the prompt
+    q = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"), F.map_from_entries(F.collect_list(F.struct("term", "q"))).alias("query"))
+    both = retrieval.tfidf_vectors(idx).join(F.broadcast(q))
+    hits = F.filter("weights", lambda w: F.map_contains_key("query", w["term"]))
+    s = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + w["raw"] * F.element_at("query", w["term"]))
+    rows = both.select("doc_id", F.size(hits).alias("hits"), (s / F.col("norm") / F.col("qnorm")).alias("s")).where("hits > 0")
+    return rows.select("doc_id", F.round(F.least(F.lit(1.0), F.col("s")), 6).alias("similarity"))
 
 
 def r11_top_terms(spark, d):
-    w = retrieval.top_terms(retrieval.tfidf_weights(_posts(spark, d)), 3)
+    w = retrieval.top_terms(retrieval.tfidf_weights(_index(spark, d)), 3)
     return w.select("doc_id", F.col("rank").cast("long").alias("rank"), "term", F.round("weight", 6).alias("weight"))
 
 
@@ -267,7 +276,7 @@ _TEXT = SQL + f", tt AS (SELECT doc_id, list_filter(regexp_extract_all(lower(con
 _VEC = "WITH q AS (SELECT CAST(embedding AS DOUBLE[]) AS q FROM embeddings WHERE vec_id = 0), e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), c AS (SELECT vec_id, round(list_cosine_similarity(v, q), 5) AS cosine FROM e, q) "
 
 QUERIES = {f.__name__: f for f in (
-    t1_code_tokens, t3_text_tokens, t4_bigrams, t10_singular, t12_condensed, t15_token_count, t17_chunks, t18_head_tail, r2_idf, r3_bm25_top_k, r4_bm25_normalised, r5_bm25_explain, r6_corpus_stats, r9_tfidf_weights, r9_tfidf_insertion,
+    t1_code_tokens, t3_text_tokens, t4_bigrams, t10_singular, t12_condensed, t15_token_count, t17_chunks, t18_head_tail, r2_idf, r3_bm25_top_k, r4_bm25_normalised, r5_bm25_explain, r6_corpus_stats, r8_term_frequency, r9_tfidf_weights, r9_tfidf_insertion,
     r10_tfidf_similarity, r11_top_terms, r14_cosine, r16_distances, r17_vector_top_k, r18_similarity_threshold, r22_corpus_changes, f1_keyword_score, f2_path_score, f19_weighted_score, f22_rank_files, f27_compare_rankings, f28_ranking_stats,
     p2_greedy_selection, x7_top_and_others, g52_size_buckets, g55_language_rollup,
 )}
@@ -286,6 +295,7 @@ ORACLES = {
     "r4_bm25_normalised": _BM25 + "SELECT doc_id, round(s / (s + 10), 6) AS normalised, round(least(1.0, s / 10), 6) AS factor FROM score",
     "r5_bm25_explain": _BM25 + "SELECT doc_id, term, CAST(1 AS BIGINT) AS tf, round(idf, 6) AS idf, round(component, 6) AS component FROM part",
     "r6_corpus_stats": _TOKENS + "SELECT n AS n_docs, round(avgdl, 6) AS avgdl, (SELECT count(*) FROM df) AS n_terms FROM st",
+    "r8_term_frequency": _TOKENS + ", c AS (SELECT doc_id, term, count(*) AS tf FROM allposts GROUP BY 1, 2), l AS (SELECT doc_id, count(*) AS n FROM allposts GROUP BY 1) SELECT doc_id, term, tf, round(1 + ln(tf), 6) AS sublinear, round(tf / n, 6) AS relative FROM c JOIN l USING (doc_id)",
     "r9_tfidf_weights": _TFIDF + "SELECT doc_id, count(*) AS terms, round(sum(weight), 5) AS total, round(max(weight), 6) AS top FROM w GROUP BY 1",
     "r9_tfidf_insertion": _TOKENS + f", o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS n FROM dl), x AS (SELECT doc_id, term, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS df FROM posts), y AS (SELECT doc_id, {_RAW} AS raw FROM x JOIN o USING (doc_id)) SELECT doc_id, round(sum(raw), 5) AS total, round(max(raw), 6) AS top FROM y GROUP BY 1",
     "r10_tfidf_similarity": _TFIDF + f", q AS (SELECT term, {_RAW} AS q FROM df, st WHERE term IN (SELECT unnest(string_split('{PROMPT}', ' ')))) SELECT doc_id, round(least(1.0, sum(weight * q) / (SELECT sqrt(sum(q * q)) FROM q)), 6) AS similarity FROM w JOIN q USING (term) GROUP BY 1",

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import history, ranking
+from quern.operators import history, ranking, storage
 
 
 def one(spark, c, *values):
@@ -51,3 +51,14 @@ def test_hot_and_quiet_periods_and_bus_factor(spark):
     assert [r["days"] for r in history.quiet_periods(days).collect()] == [6]
     authors = spark.createDataFrame([(a,) for a in [1] * 4 + [2] * 2 + [3] * 2 + [4] * 2], "author long")
     assert history.bus_factor(authors).first()["bus_factor"] == 2
+
+
+def test_positions_and_selection_over_several_blocks(spark):
+    rows = spark.createDataFrame([(i, float(i % 7), 300 + 10 * (i % 5)) for i in range(100)], "doc_id long, score double, tokens long")
+    placed = storage.positions(rows, [F.col("score").desc(), F.col("doc_id")], "rank")
+    want = [r["doc_id"] for r in sorted(rows.collect(), key=lambda r: (-r["score"], r["doc_id"]))]
+    assert [r["doc_id"] for r in sorted(placed.collect(), key=lambda r: r["rank"])] == want
+    assert sorted(r["rank"] for r in placed.collect()) == list(range(1, 101))
+    one = [tuple(r) for r in ranking.greedy_selection(placed, 9000).collect()]
+    assert sorted(tuple(r) for r in ranking.greedy_selection(placed, 9000, block=4).collect()) == sorted(one) and len(one) > 20
+    assert ranking.greedy_selection(placed.limit(0), 9000).collect() == []
