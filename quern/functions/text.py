@@ -67,10 +67,12 @@ def singular(word: Column) -> Column:
     )
 
 
-def condensed(text: Column) -> Column:
-    """No blanks at line ends, at most one empty line in a row, one newline at the end."""
+def condensed(text: Column, one_newline: bool = True) -> Column:
+    """No blanks at line ends, at most one empty line in a row, one newline at the end (or at least one, of a text not empty)."""
     t = F.regexp_replace(text, r"[ \t]+(?=\n|\z)", "")
     t = F.regexp_replace(t, r"\n{3,}", "\n\n")
+    if not one_newline:
+        return F.when(text == "", text).when(t.endswith("\n"), t).otherwise(F.concat(t, F.lit("\n")))
     return F.concat(F.regexp_replace(t, r"\n+\z", ""), F.lit("\n"))
 
 
