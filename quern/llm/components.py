@@ -79,10 +79,13 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     return out
 
 
-def spanning_edges(spark_rows: DataFrame, width: int) -> DataFrame:
+def spanning_edges(spark_rows: DataFrame, width: int, keyed=None) -> DataFrame:
     """(a, b) edges that join all nodes sharing a key, of rows (key, node): a star per key and task first, so that a
-    key of any size sends one row a task through the shuffle, then a star over what is left of each key."""
-    tasks = spark_rows.mapInArrow(lambda it: _stars(it, True), "key long, a long, b long")
+    key of any size sends one row a task through the shuffle, then a star over what is left of each key. keyed, if given,
+    makes the (key, node) batches of a task's rows, in the same Python worker: two operators in one stage keep twice as
+    many workers, which stay with their memory for all later stages."""
+    made = keyed or (lambda it: it)
+    tasks = spark_rows.mapInArrow(lambda it: _stars(made(it), True), "key long, a long, b long")
     local = stored(tasks, "stars")
     rest = local.where("key is not null").select("key", F.col("a").alias("node")).repartition(width, "key").mapInArrow(lambda it: _stars(it, False), "key long, a long, b long")
     return local.where("key is null").select("a", "b").unionByName(rest.select("a", "b"))

@@ -155,8 +155,8 @@ def candidate_components(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den:
     width = shuffle_width(docs.sparkSession)
     buckets = 4 * width
     blobs = docs.select("text").mapInArrow(lambda it: _prefixes(it, buckets, k, num, den), BUCKETED)
-    keys = shared_tokens(blobs, width).repartition(width, "node").mapInArrow(_rarest, "key long, node long")
-    return connected_components(spanning_edges(keys, width))
+    shared = shared_tokens(blobs, width).repartition(width, "node")
+    return connected_components(spanning_edges(shared, width, _rarest))
 
 
 def labelled(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN, block: int = BLOCK) -> DataFrame:
