@@ -18,8 +18,9 @@ def _checkpointed(df: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, comp): the smallest node that edges a-b reach, by minimum labels until nothing changes."""
-    both = edges.select(F.col(a).alias("u"), F.col(b).alias("v"))
-    graph = _checkpointed(both.unionByName(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    # both directions of one pass: a union would compute the edges twice
+    ends = lambda u, v: F.struct(F.col(u).alias("u"), F.col(v).alias("v"))
+    graph = _checkpointed(edges.select(F.inline(F.array(ends(a, b), ends(b, a)))).distinct())
     labels = graph.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
     while True:
         labels = _checkpointed(labels)

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .storage import dealt, written
+
+#: Pairs that a task makes or counts at once.
+PAIRS = 1_000_000
+
 
 def commit_type(message: Column) -> Column:
     m = F.lower(message)
@@ -88,14 +93,49 @@ def bus_factor(commits: DataFrame, share: float = 0.5) -> DataFrame:
     return rows.where((F.col("upto") >= F.col("n") * share) & (before < F.col("n") * share)).select((F.col("authors") - F.col("k") + need).cast("long").alias("bus_factor"))
 
 
-def pairs(rows: DataFrame, key: str, item: str, least: int = 1, largest: int | None = None) -> DataFrame:
+def joined(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """Changes with their commits, in tasks of a bounded number of changes."""
+    n = changes.count()
+    return dealt(commits, n, "commit_id").join(dealt(changes, n, "commit_id"), "commit_id")
+
+
+def first_of_id(commits: DataFrame, name: str) -> DataFrame:
+    """commits with 1 at one row of each commit_id and 0 at its others: the sum over a file's changes counts distinct ids."""
+    return commits.withColumn(name, (F.row_number().over(Window.partitionBy("commit_id").orderBy(*(c for c in commits.columns if c != "commit_id"))) == 1).cast("long"))
+
+
+def pairs(rows: DataFrame, key: str, item: str, least: int = 1, largest: int | None = None, size: int | None = None) -> DataFrame:
     """(a, b, weight): items that share keys, a < b. Pairs of one key grow with the square of its items: `largest`, if
-    given, leaves out keys with more, and is off by default because it changes the result."""
-    own = rows.select(key, item).distinct()
-    if largest:
-        own = own.join(own.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") <= largest).select(key), key, "left_semi")
-    left, right = own.withColumnRenamed(item, "a"), own.withColumnRenamed(item, "b")
-    return left.join(right, key).where("a < b").groupBy("a", "b").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    given, leaves out keys with more, and is off by default because it changes the result. `size`: the number of rows, if known.
+
+    The items of each key are written as one sorted array, whose sizes tell the number of pairs. Each item then goes, with
+    those behind it, to one of so many tasks that none counts more than PAIRS or two of them; an item that has more is split.
+    """
+    n = rows.count() if size is None else size
+    own = dealt(rows.select(key, item).where(F.col(key).isNotNull() & F.col(item).isNotNull()), n, key, item).distinct()
+    groups = dealt(own, n, key).groupBy(key).agg(F.sort_array(F.collect_list(item)).alias("items")).where(F.size("items") > 1)
+    groups = written(groups.where(F.size("items") <= largest) if largest else groups, "groups")
+    many = F.size("items")
+    places = groups.select(many.alias("many"), F.posexplode("items").alias("i", "a"))
+    loads = written(places.groupBy("a").agg(F.sum((F.col("many") - 1 - F.col("i")).cast("long")).alias("load")), "loads")
+    items, total, most = loads.agg(F.count("*"), F.sum("load"), F.max("load")).first()
+    starts = dealt(groups, total or 0, key, each=PAIRS).select("items", F.posexplode("items").alias("i", "a"))
+    tails = starts.select("a", F.slice("items", F.col("i") + 2, many).alias("tail")).where(F.size("tail") > 0)
+    keys = ["a"]
+    if (total or 0) > items * items:  # more pairs than different ones: Spark counts them before they are dealt
+        both = tails
+    elif most and most > PAIRS:
+        large = loads.where(F.col("load") > PAIRS).select("a", F.ceil(F.col("load") / PAIRS).cast("int").alias("parts"))
+        tails = tails.join(F.broadcast(large), "a", "left")  # at most a row for each PAIRS pairs
+        part = lambda j: F.struct(j.alias("part"), F.filter("tail", lambda b: F.pmod(F.xxhash64(b), F.col("parts")) == j).alias("tail"))
+        whole = F.array(F.struct(F.lit(0).alias("part"), "tail"))
+        split = F.when(F.col("parts").isNull(), whole).otherwise(F.transform(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1), part))
+        keys = ["a", "part"]
+        both = dealt(tails.select("a", F.inline(split)).where(F.size("tail") > 0), total, *keys, each=PAIRS)
+    else:
+        both = dealt(tails, total or 0, *keys, each=PAIRS)
+    both = both.select(*keys, F.explode("tail").alias("b")).groupBy(*keys, "b").agg(F.count("*").alias("weight"))
+    return both.where(F.col("weight") >= least).select("a", "b", "weight")
 
 
 def file_hotspots(commits: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:

@@ -40,7 +40,16 @@ def profiles(commits: DataFrame, changes: DataFrame) -> DataFrame:
 
 def touched(commits: DataFrame, changes: DataFrame) -> DataFrame:
     """Distinct (author, file)."""
-    return commits.select("commit_id", "author").join(changes.select("commit_id", "file"), "commit_id").select("author", "file").distinct()
+    return _touches(commits, changes).distinct()
+
+
+def _touches(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    return H.joined(commits.select("commit_id", "author"), changes.select("commit_id", "file")).select("author", "file")
+
+
+def shared_files_of(commits: DataFrame, changes: DataFrame, least: int = 1) -> DataFrame:
+    """(a, b, weight): the number of files that authors a and b have both changed."""
+    return H.pairs(_touches(commits, changes), "file", "author", least, size=changes.count())
 
 
 def contributor_stats(commits: DataFrame, changes: DataFrame) -> DataFrame:
@@ -193,7 +202,7 @@ def retention(commits: DataFrame, as_of: str) -> DataFrame:
 
 def collaboration_score(commits: DataFrame, changes: DataFrame) -> DataFrame:
     people = commits.agg(F.countDistinct("author").alias("n"))
-    edges = H.pairs(touched(commits, changes), "file", "author").agg(F.count("*").alias("edges"))
+    edges = shared_files_of(commits, changes).agg(F.count("*").alias("edges"))
     most = F.col("n") * (F.col("n") - 1) / 2
     return people.crossJoin(edges).select("n", "edges", F.when(F.col("n") <= 1, 0.0).otherwise(_capped(100, F.try_divide(F.col("edges"), most) * 100)).alias("score"))
 
@@ -377,7 +386,7 @@ def function_matrix(files: DataFrame, width: int = 50) -> DataFrame:
 def network_nodes(edges: DataFrame, least: int = 2) -> DataFrame:
     """(node, degree, size) of the nodes of edges (a, b, weight) of enough weight."""
     e = edges.where(F.col("weight") >= least)
-    ends = e.select(F.col("a").alias("node"), "weight").unionByName(e.select(F.col("b").alias("node"), "weight"))
+    ends = e.select(F.explode(F.array("a", "b")).alias("node"), "weight")  # a union of both ends would compute the edges twice
     return ends.groupBy("node").agg(F.sum("weight").alias("degree")).withColumn("size", F.least(F.lit(50).cast("long"), 10 + F.col("degree") * 2))
 
 

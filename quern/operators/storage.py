@@ -1,8 +1,9 @@
-"""Tables written to the folder that driver and executors share, and ranks over tables of any size."""
+"""Tables written to the folder that driver and executors share, tasks by counted rows, and ranks over tables of any size."""
 
 from __future__ import annotations
 
 import atexit
+import math
 import shutil
 import tempfile
 import uuid
@@ -13,6 +14,8 @@ from pyspark.sql.window import Window
 
 _OWN: list[str] = []
 _LOW = (1 << 33) - 1
+#: Rows that a task sorts or groups at once.
+ROWS = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,6 +38,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame, rows: int, *keys: str | Column, each: int = ROWS) -> DataFrame:
+    """df by keys over so many tasks that each has about `each` of its `rows` rows, or a tenth, until all cores have some.
+
+    Spark would join small partitions by their compressed bytes, down to one a core: a task would grow with the input.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(max(1, math.ceil(rows / each), min(cores, math.ceil(rows / each * 10))), *keys)
+
+
 def positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """df with `name`, each row's place (from 1) in the order: range partitions, each place its offset and place within.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import history as H
+from ..operators import reports as R
 from ..sources.fixtures import SQL, changes, commits, table
 
 AS_OF = "2001-08-01"
@@ -84,8 +85,7 @@ def g21_bus_factor(spark, d):
 
 
 def g23_collaboration(spark, d):
-    owners = commits(spark, d).select("commit_id", "author").join(changes(spark, d), "commit_id")
-    return H.pairs(owners, "file", "author", 2)
+    return R.shared_files_of(commits(spark, d), changes(spark, d), 2)
 
 
 def g25_churn(spark, d):
@@ -151,7 +151,7 @@ def g70_burndown(spark, d):
 def v1_dependency_graph(spark, d):
     """The 50 files of highest degree in the coupling graph."""
     e = H.pairs(changes(spark, d), "commit_id", "file", 2)
-    ends = e.select(F.col("a").alias("node")).unionAll(e.select(F.col("b").alias("node")))
+    ends = e.select(F.explode(F.array("a", "b")).alias("node"))
     return ends.groupBy("node").agg(F.count("*").alias("degree")).orderBy(F.col("degree").desc(), "node").limit(50)
 
 

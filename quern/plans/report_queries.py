@@ -246,7 +246,7 @@ def x5_activity_timeline(spark, d):
 
 
 def x6_collaboration_network(spark, d):
-    return R.network_nodes(H.pairs(R.touched(*_both(spark, d)), "file", "author"))
+    return R.network_nodes(R.shared_files_of(*_both(spark, d)))
 
 
 def x8_bus_factor_gauge(spark, d):
