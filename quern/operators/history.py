@@ -10,6 +10,8 @@ from .storage import dealt, written
 
 #: Pairs that a task makes or counts at once.
 PAIRS = 1_000_000
+#: Tasks that share the changes of one file, at most.
+SPREAD = 8
 
 
 def commit_type(message: Column) -> Column:
@@ -104,6 +106,13 @@ def first_of_id(commits: DataFrame, name: str) -> DataFrame:
     return commits.withColumn(name, (F.row_number().over(Window.partitionBy("commit_id").orderBy(*(c for c in commits.columns if c != "commit_id"))) == 1).cast("long"))
 
 
+def file_commits(commits: DataFrame, changes: DataFrame) -> DataFrame:
+    """(file, ts, one): each file's commits, where the sum of `one` counts distinct ids."""
+    n = changes.count()
+    own = first_of_id(dealt(commits.select("commit_id", "ts"), n, "commit_id"), "one")
+    return own.join(dealt(changes.select("commit_id", "file"), n, "commit_id").distinct(), "commit_id").select("file", "ts", "one")
+
+
 def pairs(rows: DataFrame, key: str, item: str, least: int = 1, largest: int | None = None, size: int | None = None) -> DataFrame:
     """(a, b, weight): items that share keys, a < b. Pairs of one key grow with the square of its items: `largest`, if
     given, leaves out keys with more, and is off by default because it changes the result. `size`: the number of rows, if known.
@@ -140,11 +149,17 @@ def pairs(rows: DataFrame, key: str, item: str, least: int = 1, largest: int | N
 
 def file_hotspots(commits: DataFrame, changes: DataFrame, as_of: str) -> DataFrame:
     kind = commit_type(F.col("message"))
-    rows = commits.withColumn("fixes", (kind == "fix").cast("int")).join(changes, "commit_id")
-    per = rows.groupBy("file").agg(
-        F.countDistinct("commit_id").alias("commits"), F.countDistinct("author").alias("authors"), F.sum("insertions").alias("added"), F.sum("deletions").alias("removed"),
-        F.sum("fixes").cast("long").alias("fixes"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
-    )
+    n = changes.count()
+    lines = dealt(changes, n, "commit_id").groupBy("commit_id", "file").agg(F.sum("insertions").alias("added"), F.sum("deletions").alias("removed"), F.count("*").alias("n"))
+    own = first_of_id(dealt(commits.select("commit_id", "author", "ts", (kind == "fix").cast("int").alias("fix")), n, "commit_id"), "one")
+    rows = own.join(lines, "commit_id").withColumn("fixes", F.col("fix") * F.col("n"))
+    facts = [*(F.sum(c).alias(c) for c in ("one", "added", "removed", "fixes")), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")]
+    # one deal for both groups; a file's authors go to SPREAD tasks, so that a file of very many changes is no single task's
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("author"), F.lit(SPREAD)))
+    people = dealt(rows, n, "file", "part").groupBy("file", "part", "author").agg(*facts)
+    again = [*(F.sum(c).alias(c) for c in ("one", "added", "removed", "fixes")), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+    per = people.groupBy("file").agg(F.count("author").alias("authors"), *again).withColumnRenamed("one", "commits")
+    per = per.select("file", "commits", "authors", "added", "removed", "fixes", "first_ts", "last_ts")
     days = F.greatest(F.lit(1), F.datediff("last_ts", "first_ts"))
     rate = F.col("commits") / days * 30
     bugs = F.col("fixes") / F.col("commits")

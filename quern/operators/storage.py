@@ -38,11 +38,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dealt(df: DataFrame, rows: int, *keys: str | Column, each: int = ROWS) -> DataFrame:
-    """df by keys over so many tasks that each has about `each` of its `rows` rows, or a tenth, until all cores have some.
+def dealt(df: DataFrame, rows: int, *keys: str | Column, each: int | None = None) -> DataFrame:
+    """df by keys over so many tasks that each has about `each` (ROWS) of its `rows` rows, or a tenth, until all cores have some.
 
     Spark would join small partitions by their compressed bytes, down to one a core: a task would grow with the input.
     """
+    each = each or ROWS
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(max(1, math.ceil(rows / each), min(cores, math.ceil(rows / each * 10))), *keys)
 
