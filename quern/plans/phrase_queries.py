@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import CODE_STOP_WORDS
-from ..operators import phrases, ranking
+from ..operators import history, phrases, ranking
 from ..sources.fixtures import SQL, changes, commits, files, table
 from ..streaming.activity import windowed_activity
 
@@ -22,7 +22,7 @@ def m2_extractive_summary(spark, d):
 
 
 def f4_recency_frequency(spark, d):
-    c = changes(spark, d).join(commits(spark, d), "commit_id").groupBy("file").agg(F.max("ts").alias("last"), F.countDistinct("commit_id").alias("n"))
+    c = history.file_commits(commits(spark, d), changes(spark, d)).groupBy("file").agg(F.max("ts").alias("last"), F.sum("one").alias("n"))
     days = F.floor((F.lit(AS_OF).cast("timestamp").cast("long") - F.col("last").cast("long")) / 86400)
     c = c.withColumn("days", days)
     return c.select("file", ranking.recency_steps(F.col("days")).alias("steps"), F.round(ranking.recency_decay(F.col("days")), 6).alias("decay"), F.round(ranking.change_frequency(F.col("n")), 6).alias("frequency"))
