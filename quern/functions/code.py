@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import condensed
+from .text import _let, condensed
 
 #: Language by extension.
 EXTENSIONS = {
@@ -42,37 +42,57 @@ def language_of(path: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Lines without their ends; a last line end opens no further line."""
-    parts = F.split(text, BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return _let(F.split(text, BREAK, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
+
+
+def _filled(rows: Column) -> Column:
+    return F.size(F.filter(rows, lambda x: x.rlike(f"[^{SPACE}]"))).cast("long")
 
 
 def filled(text: Column) -> Column:
     """How many lines hold more than white space."""
-    return F.size(F.filter(lines(text), lambda x: x.rlike(f"[^{SPACE}]"))).cast("long")
+    return _filled(lines(text))
 
 
-def _uncommented(line: Column, markers: list[str]) -> Column:
-    """The line up to a marker that stands outside quotes: a fold over marks, quotes, backslashes and the runs between."""
+def _cutter(markers: list[str]):
+    """A line up to a marker that stands outside quotes: runs of other characters, and strings up to their end or the line's.
+
+    All loops are possessive: none goes back, and none takes the stack of a recursion.
+    """
     starts = "".join(sorted({re.escape(m[0]) for m in markers}))
-    pattern = "|".join(re.escape(m) for m in markers) + "|['\"\\\\]|[^'\"\\\\" + starts + "]+|(?s:.)"
-    zero = F.struct(F.lit("").alias("quote"), F.lit(False).alias("escaped"), F.lit(0).alias("at"), F.lit(-1).alias("cut"))
+    string = lambda q: rf"{q}(?:[^{q}\\]++|\\.?+)*+(?:{q}|\z)"
+    other = f"(?!{'|'.join(re.escape(m) for m in markers)})[{starts}]"
+    head = rf"^(?s:[^'\"{starts}]++|{string('"')}|{string("'")}|{other})*+"
 
-    def step(acc: Column, t: Column) -> Column:
-        opens = (acc["quote"] == "") & t.isin("'", '"')
-        quote = F.when(acc["escaped"], acc["quote"]).when(opens, t).when(acc["quote"] == t, "").otherwise(acc["quote"])
-        cut = F.when((acc["cut"] < 0) & (quote == "") & t.isin(markers), acc["at"]).otherwise(acc["cut"])
-        escaped = (t == "\\") & (quote != "") & ~acc["escaped"]
-        return F.struct(quote.alias("quote"), escaped.alias("escaped"), (acc["at"] + F.length(t)).alias("at"), cut.alias("cut"))
+    def cut(line: Column) -> Column:
+        strip = lambda kept: F.when((kept == line) | ~kept.rlike(f"[^{SPACE}]"), kept).otherwise(F.regexp_replace(kept, f"[{SPACE}]+\\z", ""))
+        return _let(F.regexp_extract(line, head, 0), strip)
 
-    cut = F.aggregate(F.regexp_extract_all(line, F.lit(pattern), F.lit(0)), zero, step, lambda a: a["cut"])
-    # one computation of the cut for the three uses
-    kept = F.transform(F.array(cut), lambda c: F.when(c < 0, line).otherwise(F.substring(line, F.lit(1), c)))[0]
-    blank = ~kept.rlike(f"[^{SPACE}]")
-    return F.when(blank | (kept == line), kept).otherwise(F.regexp_replace(kept, f"[{SPACE}]+\\z", ""))
+    return cut
 
 
-def _cutter(markers: list[str]):
-    return lambda line: _uncommented(line, markers)
+def _facts(text: Column, had: Column, has: Column) -> Column:
+    return F.struct(text.alias("bare"), had.alias("filled"), has.alias("left"))
+
+
+def _stripper(text: Column, markers: list[str], blocks: list[tuple[str, str]]):
+    def of(rows: Column) -> Column:
+        bare = F.array_join(F.transform(rows, _cutter(markers)), "\n")
+        for start, end in blocks:
+            bare = F.regexp_replace(bare, re.escape(start) + r"[\s\S]*?" + re.escape(end), "")
+        done = _let(bare, lambda b: _facts(b, _filled(rows), filled(b)))
+        return _let(done, lambda d: F.when((d["filled"] > 0) & (d["left"] / d["filled"] < 0.4), _facts(text, d["filled"], d["filled"])).otherwise(d))
+
+    return of
+
+
+def _stripped(text: Column, language: Column) -> Column:
+    """(bare, filled, left): the text without comments, and how many filled lines it had and has; 0 and 0 if it was not looked at."""
+    out = _facts(text, F.lit(0).cast("long"), F.lit(0).cast("long"))
+    for names, markers, blocks in COMMENTS:
+        of = _stripper(text, markers, blocks)
+        out = F.when(language.isin(names) & (text != ""), _let(lines(text), of)).otherwise(out)
+    return out
 
 
 def without_comments(text: Column, language: Column) -> Column:
@@ -80,28 +100,21 @@ def without_comments(text: Column, language: Column) -> Column:
 
     Quotes are followed within a line, escapes within quotes. Line comments go first, block comments after.
     """
-    out = text
-    for names, markers, blocks in COMMENTS:
-        bare = F.array_join(F.transform(lines(text), _cutter(markers)), "\n")
-        for start, end in blocks:
-            bare = F.regexp_replace(bare, re.escape(start) + r"[\s\S]*?" + re.escape(end), "")
-        safe = F.transform(F.array(bare), lambda b: F.when((filled(text) > 0) & (filled(b) / filled(text) < 0.4), text).otherwise(b))[0]
-        out = F.when(language.isin(names) & (text != ""), safe).otherwise(out)
-    return out
+    return _stripped(text, language)["bare"]
 
 
 def transformed(text: Column, language: Column) -> Column:
     """(content, removed_comment_lines, condensed_blank_runs, changed): comments stripped, then white space condensed."""
     runs = lambda t: ((F.length(t) - F.length(F.replace(t, F.lit("\n\n\n"), F.lit("")))) / 3).cast("long")
+    zero = F.lit(0).cast("long")
 
     def facts(s: Column) -> Column:
-        done = condensed(s["bare"], one_newline=False)
-        return F.struct(
-            done.alias("content"), F.greatest(F.lit(0).cast("long"), filled(text) - filled(s["bare"])).alias("removed_comment_lines"),
-            F.greatest(F.lit(0).cast("long"), runs(s["bare"]) - runs(done)).alias("condensed_blank_runs"), (done != text).alias("changed"),
-        )
+        return _let(condensed(s["bare"], one_newline=False), lambda done: F.struct(
+            done.alias("content"), F.greatest(zero, s["filled"] - s["left"]).alias("removed_comment_lines"),
+            F.greatest(zero, runs(s["bare"]) - runs(done)).alias("condensed_blank_runs"), (done != text).alias("changed"),
+        ))
 
-    return F.transform(F.array(F.struct(without_comments(text, language).alias("bare"))), facts)[0]
+    return _let(_stripped(text, language), facts)
 
 
 def documentation_score(text: Column, language: Column) -> Column:

@@ -62,3 +62,42 @@ def test_relative_time(spark):
     start = datetime.datetime(2024, 3, 31, 12)
     got = {p: one(spark, C.relative_time(F.col("c0"), base).cast("string"), p) for p in days}
     assert got == {p: str(start - datetime.timedelta(days=d)) for p, d in days.items()}
+
+
+def _scanned(line, markers):
+    """A line up to a marker outside quotes, by a scan of its characters."""
+    quote, i = "", 0
+    while i < len(line):
+        if quote:
+            i += line[i] == "\\"
+            quote = "" if i < len(line) and line[i] == quote and line[i - 1 : i] != "\\" else quote
+            # an escaped character never closes
+        elif line[i] in "'\"":
+            quote = line[i]
+        elif any(line.startswith(m, i) for m in markers):
+            kept = line[:i]
+            return kept.rstrip() if kept.strip() else kept
+        i += 1
+    return line
+
+
+@pytest.mark.parametrize(("language", "markers"), [("ruby", ["#"]), ("php", ["//", "#"]), ("sql", ["--"]), ("lua", ["--"])])
+def test_cut_lines_against_a_scan(spark, language, markers):
+    """Every string of up to five characters of a small alphabet, between lines that stay."""
+    from itertools import product
+
+    all_lines = ["x" + "".join(p) for n in range(1, 6) for p in product("'\"#/-b ", repeat=n)]
+    got = one(spark, C.without_comments(F.col("c0"), F.col("c1")), "\n".join(all_lines), language)
+    assert got.split("\n") == [_scanned(x, markers) for x in all_lines]
+
+
+@pytest.mark.parametrize(("line", "want"), [('"a\\', '"a\\'), ('"\\\\" # b', '"\\\\"'), ('"\\" # b', '"\\" # b'), ("\\' # b", "\\' # b"), ("'a\"' # \"", "'a\"'"), ("'' ''#'", "'' ''")])
+def test_cut_lines_with_escapes(spark, line, want):
+    assert one(spark, C.without_comments(F.col("c0"), F.col("c1")), line, "ruby") == want
+
+
+def test_lines_are_split_once(spark):
+    """Of each language's text: its lines, and those of what is left."""
+    rows = spark.range(1).selectExpr("string(id) t", "string(id) l")
+    plan = rows.select(C.transformed(F.col("t"), F.col("l")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 2 * len(C.COMMENTS)
