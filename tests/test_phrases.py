@@ -36,3 +36,13 @@ def test_stream_has_the_windows_of_the_table(spark, tmp_path):
     q.awaitTermination(120)
     key = lambda df: sorted((str(r["start"]), r["event_type"], r["events"]) for r in df.collect())
     assert key(spark.table("windows")) == key(windowed_activity(batch)) != []
+
+
+def test_summaries_need_no_shuffle(spark):
+    """Documents without sentences, without long words, with a sentence that repeats, and none."""
+    texts = ["", "...", "a b. c d!", "Same words here. Same words here. Other things there? x", " \t. One", "no end", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    out = phrases.extractive_summary(docs, ratio=0.5)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r["doc_id"]: (r["n_sentences"], r["summary"]) for r in out.collect()}
+    assert got == {0: (0, ""), 1: (0, "..."), 2: (1, "a b"), 3: (1, "Same words here"), 4: (1, "One"), 5: (0, ""), 6: (0, None)}
