@@ -12,8 +12,11 @@ SHORT_NAMES = "i a x y z".split()
 
 
 def _words(text: Column) -> Column:
-    """Whole runs of letters, digits and underscores that are ASCII identifiers."""
-    return F.filter(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}_]+"), F.lit(0)), lambda w: w.rlike(r"^[a-zA-Z_][a-zA-Z0-9_]*$"))
+    """Whole runs of letters, digits and underscores that are ASCII identifiers, of one letter if it is a short name."""
+    short = "".join(SHORT_NAMES + [x.upper() for x in SHORT_NAMES])
+    # a run of other kind is taken as a whole, by the second choice, and leaves the group empty
+    pattern = rf"(?:([a-zA-Z_][a-zA-Z0-9_]++|[{short}])(?![\p{{L}}\p{{N}}_])|[\p{{L}}\p{{N}}_]++)"
+    return F.filter(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda w: w != "")
 
 
 def _camel(word: Column) -> Column:
@@ -23,13 +26,15 @@ def _camel(word: Column) -> Column:
 
 def code_tokens(text: Column, stop_words: list[str] | None = None, dedup: bool = True) -> Column:
     """Identifiers in order of first appearance: parts of camelCase and snake_case names, then the name itself."""
-    words = F.filter(_words(text), lambda w: (F.length(w) > 1) | F.lower(w).isin(SHORT_NAMES))
+    words = _words(text)
 
     def split(w: Column) -> Column:
         whole = F.array(F.lower(w))
         snake = F.filter(F.split(F.lower(w), "_"), lambda p: p != "")
         camel = w.rlike("[A-Z]") & w.rlike("[a-z]")
-        return F.when(camel, F.concat(_camel(w), whole)).when(w.contains("_"), F.concat(snake, whole)).otherwise(whole)
+        other = F.when(camel, F.concat(_camel(w), whole)).when(w.contains("_"), F.concat(snake, whole)).otherwise(whole)
+        # most words need no more than one look
+        return F.when((w == F.lower(w)) & ~w.contains("_"), whole).when(w.rlike("^[A-Z][a-z]+$"), F.array(F.lower(w), F.lower(w))).otherwise(other)
 
     tokens = F.flatten(F.transform(words, split))
     if dedup:
@@ -48,6 +53,18 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def counted(tokens: Column) -> Column:
+    """(term, tf) of the different tokens, by a sort within the row."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(t)), lambda k: (k == 1) | (t[k - 1] != t[k - 2]))
+        last = lambda s, j: F.when(j + 1 < F.size(s), s[j + 1]).otherwise(F.size(t) + 1)
+        return _let(starts, lambda s: F.transform(s, lambda k, j: F.struct(t[k - 1].alias("term"), (last(s, j) - k).cast("long").alias("tf"))))
+
+    none = F.array().cast("array<struct<term:string,tf:bigint>>")
+    return _let(F.sort_array(tokens), lambda t: F.when(F.size(t) > 0, runs(t)).otherwise(none))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     def windows(t: Column) -> Column:
         return F.transform(F.sequence(F.lit(1), F.greatest(F.size(t) - (n - 1), F.lit(1))), lambda i: F.concat_ws(" ", F.slice(t, i, n)))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import code_tokens
+from ..functions.text import code_tokens, counted
 from .storage import positions, written
 
 #: Document frequencies of at most so many terms are broadcast; more are joined by shuffle, where AQE splits hot terms.
@@ -30,12 +30,9 @@ def index(files: DataFrame, query: DataFrame | None = None, dedup: bool = True)
         wanted = query.agg(F.collect_set("term").alias("wanted"))  # one row, as long as the prompt
         kept = F.array_intersect("tokens", "wanted") if dedup else F.filter("tokens", lambda t: F.array_contains("wanted", t))
         rows = rows.join(F.broadcast(wanted)).select("doc_id", "dl", kept.alias("tokens"))
-    if dedup:
-        terms = F.transform("tokens", lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf")))
-        return _nonempty(written(rows.select("doc_id", "dl", terms.alias("terms")), "index"))
-    each = rows.select("doc_id", "dl", F.explode_outer("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("term").alias("tf"))
-    both = F.when(F.col("term").isNotNull(), F.struct("term", "tf"))
-    return _nonempty(written(each.groupBy("doc_id", "dl").agg(F.collect_list(both).alias("terms")), "index"))
+    once = lambda t: F.struct(t.alias("term"), F.lit(1).cast("long").alias("tf"))
+    terms = F.transform("tokens", once) if dedup else counted(F.col("tokens"))
+    return _nonempty(written(rows.select("doc_id", "dl", terms.alias("terms")), "index"))
 
 
 def _nonempty(idx: DataFrame) -> DataFrame:
@@ -94,13 +91,29 @@ def tfidf_idf(n: Column, df: Column) -> Column:
     return F.log((1 + n) / (1 + df)) + 1e-12 * F.greatest(F.lit(1), n) + 1
 
 
+def _raw_weights(idx: DataFrame, df: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, raw): raw weights by corpus-wide document frequency; df (term, df) holds them if they are stored already."""
+    df = written(frequencies(idx), "frequencies") if df is None else df
+    df = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
+    raw = sublinear(F.col("tf")) * tfidf_idf(F.col("n"), F.col("df"))
+    return postings(idx).join(df, "term").join(F.broadcast(sizes(idx))).select("doc_id", "term", raw.alias("raw"))
+
+
 def tfidf_vectors(idx: DataFrame) -> DataFrame:
     """(doc_id, norm, weights of (term, raw)): raw weights by corpus-wide document frequency, and their length."""
+    rows = _raw_weights(idx)
+    return rows.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"), F.collect_list(F.struct("term", "raw")).alias("weights"))
+
+
+def tfidf_similarity(idx: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, similarity) of documents that share terms with a query's: cosines; sums, no lists of weights, are shuffled."""
     df = written(frequencies(idx), "frequencies")
-    df = F.broadcast(df) if df.count() <= BROADCAST_TERMS else df
-    raw = sublinear(F.col("tf")) * tfidf_idf(F.col("n"), F.col("df"))
-    rows = postings(idx).join(df, "term").join(F.broadcast(sizes(idx))).select("doc_id", F.struct("term", raw.alias("raw")).alias("w"), (raw * raw).alias("square"))
-    return rows.groupBy("doc_id").agg(F.sqrt(F.sum("square")).alias("norm"), F.collect_list("w").alias("weights"))
+    query = df.join(F.broadcast(terms), "term").join(F.broadcast(sizes(idx))).select("term", tfidf_idf(F.col("n"), F.col("df")).alias("q"))
+    length = query.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"))  # one row
+    rows = _raw_weights(idx, df).join(F.broadcast(query), "term", "left")  # as long as the prompt
+    raw = F.col("raw")
+    per = rows.groupBy("doc_id").agg(F.sqrt(F.sum(raw * raw)).alias("norm"), F.sum(raw * F.col("q")).alias("s"))
+    return per.where("s is not null").join(F.broadcast(length)).select("doc_id", F.least(F.lit(1.0), F.col("s") / F.col("norm") / F.col("qnorm")).alias("similarity"))
 
 
 def tfidf_weights(idx: DataFrame) -> DataFrame:
@@ -130,6 +143,17 @@ def top_terms(weights: DataFrame, n: int, value: str = "weight") -> DataFrame:
     return weights.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def top_terms_of(vectors: DataFrame, n: int) -> DataFrame:
+    """(doc_id, rank, term, weight): as top_terms of the vectors' weights, within each row."""
+    weight = lambda w: w["raw"] / F.col("norm")
+    # only weights that can round to the n-th largest or more are rounded
+    least = F.element_at(F.sort_array(F.col("weights.raw"), False), F.least(F.lit(n), F.size("weights"))) / F.col("norm") - 2e-9
+    rows = vectors.select("doc_id", "norm", "weights", least.alias("least"))
+    few = F.filter("weights", lambda w: weight(w) >= F.col("least"))
+    order = F.sort_array(F.transform(few, lambda w: F.struct((-F.round(weight(w), 9)).alias("o"), w["term"].alias("term"), weight(w).alias("weight"))))
+    return rows.select("doc_id", F.posexplode(F.slice(order, 1, n)).alias("rank", "w")).select("doc_id", (F.col("rank") + 1).alias("rank"), "w.term", "w.weight")
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

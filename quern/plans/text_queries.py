@@ -126,20 +126,12 @@ def r9_tfidf_insertion(spark, d):
 
 
 def r10_tfidf_similarity(spark, d):
-    idx = _index(spark, d)
-    df = retrieval.frequencies(idx).join(F.broadcast(retrieval.query_terms(spark, PROMPT)), "term")
-    q = df.join(F.broadcast(retrieval.sizes(idx))).select("term", retrieval.tfidf_idf(F.col("n"), F.col("df")).alias("q"))
-    # one row, as long as the prompt
-    q = q.agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("qnorm"), F.map_from_entries(F.collect_list(F.struct("term", "q"))).alias("query"))
-    both = retrieval.tfidf_vectors(idx).join(F.broadcast(q))
-    hits = F.filter("weights", lambda w: F.map_contains_key("query", w["term"]))
-    s = F.aggregate(hits, F.lit(0.0), lambda acc, w: acc + w["raw"] * F.element_at("query", w["term"]))
-    rows = both.select("doc_id", F.size(hits).alias("hits"), (s / F.col("norm") / F.col("qnorm")).alias("s")).where("hits > 0")
-    return rows.select("doc_id", F.round(F.least(F.lit(1.0), F.col("s")), 6).alias("similarity"))
+    s = retrieval.tfidf_similarity(_index(spark, d), retrieval.query_terms(spark, PROMPT))
+    return s.select("doc_id", F.round("similarity", 6).alias("similarity"))
 
 
 def r11_top_terms(spark, d):
-    w = retrieval.top_terms(retrieval.tfidf_weights(_index(spark, d)), 3)
+    w = retrieval.top_terms_of(retrieval.tfidf_vectors(_index(spark, d)), 3)
     return w.select("doc_id", F.col("rank").cast("long").alias("rank"), "term", F.round("weight", 6).alias("weight"))
 
 

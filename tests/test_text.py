@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
-from quern.operators import history, ranking, storage
+from quern.operators import history, ranking, retrieval, storage
 
 
 def one(spark, c, *values):
@@ -62,3 +62,44 @@ def test_positions_and_selection_over_several_blocks(spark):
     one = [tuple(r) for r in ranking.greedy_selection(placed, 9000).collect()]
     assert sorted(tuple(r) for r in ranking.greedy_selection(placed, 9000, block=4).collect()) == sorted(one) and len(one) > 20
     assert ranking.greedy_selection(placed.limit(0), 9000).collect() == []
+
+
+def test_code_tokens_of_mixed_runs(spark):
+    """Runs with other letters go as a whole, also behind and before letters beyond the basic plane; short names stay."""
+    text = "aé éa abc \U0001d400abc abc\U0001d400 \U0001f600def 9a a9 _ __ x X b B ABC AbC Ab1 snake_Case"
+    got = spark.createDataFrame([(text,)], "c string").select(T.code_tokens(F.col("c"), dedup=False).alias("t")).first()["t"]
+    assert got == ["abc", "def", "a9", "__", "x", "x", "abc", "ab", "abc", "ab", "ab1", "snake", "case", "snake_case"]
+
+
+def test_counted_terms(spark):
+    rows = spark.createDataFrame([(["b", "a", "b"],), ([],), (["z"],)], "t array<string>")
+    got = [[tuple(x) for x in r["c"]] for r in rows.select(T.counted(F.col("t")).alias("c")).collect()]
+    assert got == [[("a", 1), ("b", 2)], [], [("z", 1)]]
+
+
+def test_term_counts_need_no_shuffle(spark, monkeypatch):
+    """The index, as it is written, is made within the documents' rows."""
+    plans = []
+    monkeypatch.setattr(retrieval, "written", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or df)
+    docs = spark.createDataFrame([(1, "one two one"), (2, "")], "doc_id long, content string")
+    got = retrieval.postings(retrieval.index(docs, dedup=False)).collect()
+    assert sorted(map(tuple, got)) == [(1, 3, "one", 2), (1, 3, "two", 1)]
+    assert "Exchange" not in plans[0]
+
+
+def test_top_terms_of_a_row_are_those_of_the_rows(spark):
+    """Ties go to the first term, also those of weights that differ after the ninth digit only."""
+    rows = [(1, 2.0, [("b", 1.0), ("a", 1.0 + 1e-10), ("c", 1.0 + 2e-10), ("d", 0.5)]), (2, 1.0, [("x", 0.25)])]
+    v = spark.createDataFrame(rows, "doc_id long, norm double, weights array<struct<term:string,raw:double>>")
+    flat = v.select("doc_id", "norm", F.inline("weights")).select("doc_id", "term", (F.col("raw") / F.col("norm")).alias("weight"))
+    want = sorted((r["doc_id"], r["rank"], r["term"]) for r in retrieval.top_terms(flat, 2).collect())
+    got = sorted((r["doc_id"], r["rank"], r["term"]) for r in retrieval.top_terms_of(v, 2).collect())
+    assert got == want == [(1, 1, "a"), (1, 2, "b"), (2, 1, "x")]
+
+
+def test_similarity_shuffles_no_lists(spark):
+    docs = spark.createDataFrame([(1, "one two"), (2, "two three"), (3, "four")], "doc_id long, content string")
+    idx = retrieval.index(docs)
+    out = retrieval.tfidf_similarity(idx, retrieval.query_terms(spark, "one four six"))
+    assert "collect_list" not in out._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
